@@ -1,0 +1,106 @@
+"""Exact percentiles of very large columns by radix selection.
+
+Values become order-preserving integers. A first pass counts the leading digit per group, a histogram that
+adds up across partitions, files and days; the digit that holds a target rank is known from its running
+counts, and only values with that digit are counted by the next one. With four digits of 16 bits the rank is
+found exactly; stopping after fewer digits gives the value within a known relative error. No pass sorts or
+collects values: each is a hash aggregation with map-side combine, so a hot group costs what others do.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidegrid.functions.floatkeys import from_key, to_key
+from tidegrid.operators.common import lookup_join
+from tidegrid.session import materialize
+
+KEY_BITS = 64
+
+
+def _digit(key: Column, shift: int, bits: int, first: bool) -> Column:
+    # The first digit keeps the sign; later ones are the plain bits below it.
+    d = F.shiftright(key, shift)
+    return d if first else d.bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def radix_histogram(values: DataFrame, groups: list[str], value: str, bits: int = 24) -> DataFrame:
+    """Counts per group and leading ``bits`` of the order-preserving key: (groups, ``digit``, ``n``).
+
+    Histograms of parts of the data combine by :func:`merge_histograms`; ``bits`` leaves ``bits - 12`` of the
+    fraction, so a percentile read from it is off by a factor of at most ``1 + 2 ** (12 - bits)``.
+    Null and NaN values are not counted.
+    """
+    key = to_key(F.col(f"`{value}`").cast("double"))
+    return values.select(*groups, F.shiftright(key, KEY_BITS - bits).alias("digit")).where(F.col("digit").isNotNull()).groupBy(*groups, "digit").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_histograms(parts: list[DataFrame], groups: list[str]) -> DataFrame:
+    """One histogram from histograms of disjoint parts (days, files, clusters)."""
+    return reduce(DataFrame.unionByName, parts).groupBy(*groups, "digit").agg(F.sum("n").alias("n"))
+
+
+def histogram_percentiles(histogram: DataFrame, groups: list[str], probs: list[float], bits: int = 24) -> DataFrame:
+    """Percentiles of a (merged) histogram: (groups, ``p``, ``value``, ``n``), the nearest rank's bin centre in key space.
+
+    The value with rank ``ceil(p * n)`` lies in the bin; the result differs from it by a factor of at most
+    ``1 + 2 ** (12 - bits)`` (absolutely by 2**-1022 for subnormal numbers). No rows give no percentile.
+    """
+    w = Window.partitionBy(*groups).orderBy("digit")
+    h = histogram.withColumn("_to", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("n").over(Window.partitionBy(*groups)))
+    h = h.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    rank = F.greatest(F.ceil(F.col("p") * F.col("_all")), F.lit(1))
+    h = h.where((rank <= F.col("_to")) & (rank > F.col("_to") - F.col("n")))
+    shift = KEY_BITS - bits
+    return h.select(*groups, "p", from_key(F.shiftleft(F.col("digit"), shift) + F.lit(1 << (shift - 1))).alias("value"), F.col("_all").alias("n"))
+
+
+def radix_percentiles(values: DataFrame, groups: list[str], value: str, probs: list[float], digit_bits: int = 16, broadcast_rows: int = 100_000) -> DataFrame:
+    """Exact percentiles per group: (groups, ``p``, ``value``, ``n``), interpolated linearly at rank ``p * (n - 1)``.
+
+    ``values`` is read once per digit (64 / ``digit_bits`` times), so it should be a table. The targets of each
+    digit, at most ``2 * len(probs)`` rows per group, go to the shared folder between passes.
+
+    Defined cases: null and NaN values do not count, infinities do; a group without values gives no rows; null
+    groups are a group; ties and repeated rows count each; -0.0 and 0.0 are one value; further columns are ignored.
+    """
+    if KEY_BITS % digit_bits:
+        raise ValueError("digit_bits must divide 64")
+    g = [f"_g{i}" for i in range(len(groups))]
+    rows = values.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(groups, g)], to_key(F.col(f"`{value}`").cast("double")).alias("_key")).where(F.col("_key").isNotNull())
+
+    shift = KEY_BITS - digit_bits
+    counts = rows.groupBy(*g, _digit(F.col("_key"), shift, digit_bits, True).alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*g).orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_to", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*g)))
+    ranks = F.array(*[f(F.lit(float(p)) * (F.col("_n") - 1)).cast("long") for p in probs for f in (F.floor, F.ceil)])
+    targets = counts.withColumn("_ranks", F.array_distinct(ranks)).withColumn("_rank", F.explode("_ranks")).drop("_ranks")
+    # _below: values of the group that sort before the digit followed.
+    targets = targets.where((F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_c")))
+    targets = targets.select(*g, "_n", "_rank", (F.col("_to") - F.col("_c")).alias("_below"), F.col("_d").alias("_prefix"))
+    while shift > 0:
+        lower = shift - digit_bits
+        targets = materialize(targets, "radix-targets")  # a few rows per group; the next pass starts from the table
+        follow = targets.select(*g, "_prefix").distinct()
+        on = [*g, "_prefix"]
+        filled = lambda d: d.select(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(c) for c in g], *[c for c in d.columns if c not in g])
+        candidates = rows.select(*g, "_key", F.shiftright("_key", shift).alias("_prefix"))
+        counts = lookup_join(filled(candidates), filled(follow), on, "inner", broadcast_rows).groupBy(*g, "_prefix", _digit(F.col("_key"), lower, digit_bits, False).alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
+        w = Window.partitionBy(*g, "_prefix").orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("_to", F.sum("_c").over(w)).select(*[F.col(c).alias(f"_h{c}") for c in g], F.col("_prefix").alias("_hp"), "_d", "_c", "_to")
+        match = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) == F.col(f"_h{c}") for c in g] + [F.col("_prefix") == F.col("_hp"), F.col("_rank") - F.col("_below") < F.col("_to"), F.col("_rank") - F.col("_below") >= F.col("_to") - F.col("_c")]
+        targets = targets.join(counts, match).select(
+            *g, "_n", "_rank", (F.col("_below") + F.col("_to") - F.col("_c")).alias("_below"), (F.shiftleft(F.col("_prefix"), digit_bits) + F.col("_d")).alias("_prefix")
+        )
+        shift = lower
+    found = targets.groupBy(*g, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_rank", from_key(F.col("_prefix")).alias("v")))).alias("_at"))
+    found = found.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    pos = F.col("p") * (F.col("_n") - 1)
+    lo, hi = F.col("_at")[F.floor(pos).cast("long")], F.col("_at")[F.ceil(pos).cast("long")]
+    frac = pos - F.floor(pos)
+    # Written as a weighted pair: equal ends stay exact and infinities do not meet their own difference.
+    v = F.when(lo == hi, lo).otherwise(lo * (F.lit(1.0) - frac) + hi * frac)
+    return found.select(*[F.col(a).alias(c) for c, a in zip(groups, g)], "p", v.alias("value"), F.col("_n").alias("n"))
