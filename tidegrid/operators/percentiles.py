@@ -58,11 +58,15 @@ def histogram_percentiles(histogram: DataFrame, groups: list[str], probs: list[f
     return h.select(*groups, "p", from_key(F.shiftleft(F.col("digit"), shift) + F.lit(1 << (shift - 1))).alias("value"), F.col("_all").alias("n"))
 
 
-def radix_percentiles(values: DataFrame, groups: list[str], value: str, probs: list[float], digit_bits: int = 16, broadcast_rows: int = 100_000) -> DataFrame:
-    """Exact percentiles per group: (groups, ``p``, ``value``, ``n``), interpolated linearly at rank ``p * (n - 1)``.
+def radix_percentiles(values: DataFrame, groups: list[str], value: str, probs: list[float], digit_bits: int = 16, keyed: bool = False) -> DataFrame:
+    """Exact percentiles per group: (groups, ``p``, ``value``, ``lower``, ``upper``, ``n``).
 
-    ``values`` is read once per digit (64 / ``digit_bits`` times), so it should be a table. The targets of each
-    digit, at most ``2 * len(probs)`` rows per group, go to the shared folder between passes.
+    ``lower`` and ``upper`` are the values at the whole ranks around ``p * (n - 1)``, ``value`` the linear
+    interpolation between them.
+
+    Keys are made once and written to the shared folder, as they are read once per digit (64 / ``digit_bits``
+    times); with ``keyed`` the column ``value`` holds keys of :func:`to_key` already and ``values`` is read as
+    it is. The targets of each digit, at most ``2 * len(probs)`` rows per group, go to the shared folder too.
 
     Defined cases: null and NaN values do not count, infinities do; a group without values gives no rows; null
     groups are a group; ties and repeated rows count each; -0.0 and 0.0 are one value; further columns are ignored.
@@ -70,7 +74,9 @@ def radix_percentiles(values: DataFrame, groups: list[str], value: str, probs: l
     if KEY_BITS % digit_bits:
         raise ValueError("digit_bits must divide 64")
     g = [f"_g{i}" for i in range(len(groups))]
-    rows = values.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(groups, g)], to_key(F.col(f"`{value}`").cast("double")).alias("_key")).where(F.col("_key").isNotNull())
+    rows = values.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(groups, g)], (F.col(f"`{value}`") if keyed else to_key(F.col(f"`{value}`").cast("double"))).alias("_key")).where(F.col("_key").isNotNull())
+    if not keyed:
+        rows = materialize(rows, "radix-keys")
 
     shift = KEY_BITS - digit_bits
     counts = rows.groupBy(*g, _digit(F.col("_key"), shift, digit_bits, True).alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
@@ -88,7 +94,7 @@ def radix_percentiles(values: DataFrame, groups: list[str], value: str, probs: l
         on = [*g, "_prefix"]
         filled = lambda d: d.select(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(c) for c in g], *[c for c in d.columns if c not in g])
         candidates = rows.select(*g, "_key", F.shiftright("_key", shift).alias("_prefix"))
-        counts = lookup_join(filled(candidates), filled(follow), on, "inner", broadcast_rows).groupBy(*g, "_prefix", _digit(F.col("_key"), lower, digit_bits, False).alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
+        counts = lookup_join(filled(candidates), filled(follow), on, "inner").groupBy(*g, "_prefix", _digit(F.col("_key"), lower, digit_bits, False).alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
         w = Window.partitionBy(*g, "_prefix").orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
         counts = counts.withColumn("_to", F.sum("_c").over(w)).select(*[F.col(c).alias(f"_h{c}") for c in g], F.col("_prefix").alias("_hp"), "_d", "_c", "_to")
         match = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) == F.col(f"_h{c}") for c in g] + [F.col("_prefix") == F.col("_hp"), F.col("_rank") - F.col("_below") < F.col("_to"), F.col("_rank") - F.col("_below") >= F.col("_to") - F.col("_c")]
@@ -101,6 +107,6 @@ def radix_percentiles(values: DataFrame, groups: list[str], value: str, probs: l
     pos = F.col("p") * (F.col("_n") - 1)
     lo, hi = F.col("_at")[F.floor(pos).cast("long")], F.col("_at")[F.ceil(pos).cast("long")]
     frac = pos - F.floor(pos)
-    # Written as a weighted pair: equal ends stay exact and infinities do not meet their own difference.
-    v = F.when(lo == hi, lo).otherwise(lo * (F.lit(1.0) - frac) + hi * frac)
-    return found.select(*[F.col(a).alias(c) for c, a in zip(groups, g)], "p", v.alias("value"), F.col("_n").alias("n"))
+    # Equal ends stay as they are, so infinities do not meet their own difference.
+    v = F.when(lo == hi, lo).otherwise(lo + (hi - lo) * frac)
+    return found.select(*[F.col(a).alias(c) for c, a in zip(groups, g)], "p", v.alias("value"), lo.alias("lower"), hi.alias("upper"), F.col("_n").alias("n"))

@@ -47,7 +47,7 @@ t AS (SELECT series_ref, dd, CAST(7 AS INT) AS trailing_days, sum(s) OVER w AS t
   UNION ALL SELECT series_ref, dd, CAST(30 AS INT), sum(s) OVER w, CAST(sum(n) OVER w AS BIGINT) FROM f WINDOW w AS (PARTITION BY series_ref ORDER BY dd ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
 x AS (SELECT *, strftime(DATE '1970-01-01' + CAST(dd AS INT), '%Y-%m-%d') AS day FROM t)"""
 
-P3_TOTALS = f"""WITH {_TRAIL} SELECT series_ref, trailing_days, day, round(total, 3) AS total, n, CASE WHEN n > 0 THEN round(total / n, 2) END AS average FROM x"""
+P3_TOTALS = f"""WITH {_TRAIL} SELECT series_ref, trailing_days, day, total, n, CASE WHEN n > 0 THEN total / n END AS average FROM x"""
 
 P3_FOUND = f"""WITH {_TRAIL}
 SELECT 'silent' AS kind, series_ref, trailing_days, day FROM x WHERE n = 0
@@ -69,8 +69,9 @@ P5_FOUND = f"SELECT DISTINCT {_HASH} AS series_hash, {_RES} AS resolution, ts FR
 
 P7 = f"""WITH v AS (SELECT metric, labels['region'] AS region, value FROM (SELECT *, row_number() OVER (PARTITION BY series_ref, ts ORDER BY seq DESC) AS rn FROM samples) WHERE rn = 1 AND value IS NOT NULL AND isfinite(value)),
 s AS (SELECT metric, 'metric' AS scope, CAST(NULL AS VARCHAR) AS region, value FROM v UNION ALL SELECT metric, 'region', region, value FROM v WHERE region IS NOT NULL),
+r AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY metric, scope, region) AS n FROM s WINDOW w AS (PARTITION BY metric, scope, region ORDER BY value)),
 p AS (SELECT unnest([0.5, 0.9, 0.99]::DOUBLE[]) AS p)
-SELECT metric, scope, region, p, CASE p WHEN 0.5 THEN quantile_cont(value, 0.5) WHEN 0.9 THEN quantile_cont(value, 0.9) ELSE quantile_cont(value, 0.99) END AS value, count(*) AS n FROM s, p GROUP BY metric, scope, region, p"""
+SELECT metric, scope, region, p, max(CASE WHEN i = floor(p * (n - 1)) THEN value END) AS lower, max(CASE WHEN i = ceil(p * (n - 1)) THEN value END) AS upper, n FROM r, p GROUP BY metric, scope, region, p, n"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegrid.functions.floatkeys import to_key
 from tidegrid.functions.spelling import RESOLUTION_MS, hex_number, is_finite, resolution, resolution_length, series_hash
 from tidegrid.operators.common import current_rows, lookup_join
 from tidegrid.operators.delivery import deduplicate, repeated_messages, sample_set
@@ -62,7 +63,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 def p3_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Totals and averages over the trailing 7 and 30 days of every series and day."""
     t = trailing_totals(readings(spark, sf), "series_ref", "ts", "value")
-    return t.select("series_ref", "trailing_days", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("total", 3).alias("total"), "n", F.round("average", 2).alias("average"))
+    return t.select("series_ref", "trailing_days", F.date_format("day", "yyyy-MM-dd").alias("day"), "total", "n", "average")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,25 +92,29 @@ def p4_messages(spark: SparkSession, sf: str) -> DataFrame:
     return deduplicate(m, ["producer", "message"], "record_id", ["written_at"]).select("record_id", "producer", "message")
 
 
-def _metric_values(spark: SparkSession, sf: str, table: bool = False) -> DataFrame:
+def _metric_values(spark: SparkSession, sf: str) -> DataFrame:
     s = _table(spark, sf, "samples").select("series_ref", "metric", F.col("labels")["region"].alias("region"), "ts", "value", "seq")
-    r = current_rows(s, ["series_ref", "metric", "region"]).where(is_finite(F.col("value")))
-    if table:
-        r = materialize(r.select("metric", "region", "ts", "value"), "metric-values")
-    scopes = F.explode(F.array(F.struct(F.lit("metric").alias("scope"), F.lit(None).cast("string").alias("region")), F.struct(F.lit("region").alias("scope"), F.col("region").alias("region"))))
-    r = r.select("metric", "value", F.to_date(F.timestamp_millis("ts")).alias("day"), scopes.alias("s"))
-    return r.select("metric", F.col("s.scope").alias("scope"), F.col("s.region").alias("region"), "value", "day").where((F.col("scope") == "metric") | F.col("region").isNotNull())
+    return current_rows(s, ["series_ref", "metric", "region"]).where(is_finite(F.col("value"))).select("metric", "region", "ts", "value")
+
+
+def _scoped(values: DataFrame, *rest: str) -> DataFrame:
+    """Each row under its metric and, if it has a region, under metric and region."""
+    scopes = F.array(F.struct(F.lit("metric").alias("scope"), F.lit(None).cast("string").alias("region")), F.struct(F.lit("region").alias("scope"), F.col("region").alias("region")))
+    scopes = F.filter(scopes, lambda x: (x["scope"] == "metric") | x["region"].isNotNull())
+    return values.select("metric", *rest, F.explode(scopes).alias("s")).select("metric", F.col("s.scope").alias("scope"), F.col("s.region").alias("region"), *rest)
 
 
 def p7_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     """Median, 90th and 99th percentile of every metric, and of every metric and region, exactly."""
-    out = radix_percentiles(_metric_values(spark, sf, table=True), ["metric", "scope", "region"], "value", PROBS)
-    return out.select("metric", "scope", "region", "p", "value", "n")
+    keys = materialize(_metric_values(spark, sf).select("metric", "region", to_key(F.col("value")).alias("key")), "metric-keys")
+    # The order statistics around each rank; the interpolated value is left to the reader, as its last bit depends on the formula.
+    return radix_percentiles(_scoped(keys, "key"), ["metric", "scope", "region"], "key", PROBS, keyed=True).drop("value")
 
 
 def p7_merged_days(spark: SparkSession, sf: str) -> DataFrame:
     """The same from histograms made day by day and combined, within a relative error of 2**-12."""
-    h = radix_histogram(_metric_values(spark, sf), ["metric", "scope", "region", "day"], "value")
+    v = _metric_values(spark, sf).withColumn("day", F.expr("ts div 86400000"))
+    h = radix_histogram(_scoped(v, "value", "day"), ["metric", "scope", "region", "day"], "value")
     h = merge_histograms([h.drop("day")], ["metric", "scope", "region"])
     return histogram_percentiles(h, ["metric", "scope", "region"], PROBS)
 
