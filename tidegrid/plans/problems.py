@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from tidegrid.functions.floatkeys import to_key
 from tidegrid.functions.spelling import RESOLUTION_MS, hex_number, is_finite, resolution, resolution_length, series_hash
 from tidegrid.operators.common import current_rows, lookup_join
+from tidegrid.operators.compaction import Compaction, point_records
 from tidegrid.operators.delivery import deduplicate, repeated_messages, sample_set
 from tidegrid.operators.grid import regular_grid
 from tidegrid.operators.intervals import merge_intervals
 from tidegrid.operators.percentiles import histogram_percentiles, merge_histograms, radix_histogram, radix_percentiles
 from tidegrid.operators.trailing import trailing_totals
-from tidegrid.session import materialize
+from tidegrid.session import materialize, shared_dir
 
 PROBS = [0.5, 0.9, 0.99]
 
@@ -92,6 +93,14 @@ def p4_messages(spark: SparkSession, sf: str) -> DataFrame:
     return deduplicate(m, ["producer", "message"], "record_id", ["written_at"]).select("record_id", "producer", "message")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every distinct rollup point once, read from the compacted files."""
+    files = _table(spark, sf, "rollup_files")
+    records, listing = point_records(_table(spark, sf, "rollup_points"), files, series_hash(F.col("series_hash")), resolution(F.col("resolution")))
+    job = Compaction(records, listing, shared_dir(spark, "compaction"), ["series_hash", "resolution", "ts"], ["file_written", "file_source"])
+    return job.run().select("series_hash", "resolution", "ts")
+
+
 def _metric_values(spark: SparkSession, sf: str) -> DataFrame:
     s = _table(spark, sf, "samples").select("series_ref", "metric", F.col("labels")["region"].alias("region"), "ts", "value", "seq")
     return current_rows(s, ["series_ref", "metric", "region"]).where(is_finite(F.col("value"))).select("metric", "region", "ts", "value")
@@ -120,4 +129,4 @@ def p7_merged_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_grid": p1_grid, "p2_found": p2_found, "p3_found": p3_found, "p3_totals": p3_totals, "p4_found": p4_found, "p4_messages": p4_messages, "p7_percentiles": p7_percentiles, "p7_merged_days": p7_merged_days}
+    return {"p1_found": p1_found, "p1_grid": p1_grid, "p2_found": p2_found, "p3_found": p3_found, "p3_totals": p3_totals, "p4_found": p4_found, "p4_messages": p4_messages, "p5_found": p5_found, "p7_percentiles": p7_percentiles, "p7_merged_days": p7_merged_days}
