@@ -118,7 +118,7 @@ class Index:
         shingles, item, pos = [], [], []
         minima: list[set[tuple[int, int]]] = [set() for _ in self.seeds]
         self.sentences: list[set[tuple[int, int]]] = []
-        seen: dict[str, set[int]] = defaultdict(set)
+        seen: dict[str, set[str]] = defaultdict(set)
         for i, t in enumerate(tokens):
             h = shingle_hashes(units.hashes(t), mode.width)
             shingles.append(h)
@@ -130,16 +130,16 @@ class Index:
                     minima[f].add((v, i))
             ends, at = set(), 0
             for s in _SENTENCE.split(items[i][1]):
-                n = len(cut(plain(s)))
-                if n:
-                    ends.add((at, at + n))
-                at += n
+                own = cut(plain(s))
+                if own:
+                    ends.add((at, at + len(own)))
+                at += len(own)
+                for u in own:
+                    seen[u].add(" ".join(own))
             self.sentences.append(ends)
-            for u in set(t):
-                seen[u].add(i)
         self.tokens = tokens
-        # A unit is telling if few items have it; sentence patterns are made of units that many items share.
-        self.telling = {u for u, s in seen.items() if len(s) <= max(3, len(items) // 50)}
+        # A word is telling if hardly any other sentence has it; sentence patterns are made of words that many share.
+        self.telling = {u for u, s in seen.items() if len(s) <= 2}
         self.keys: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for s in minima:
             pairs = sorted(s)
@@ -217,7 +217,7 @@ class Index:
             for s, e, exact, changed in spans:
                 span = e - s
                 telling = len({u for u in passage[s:e] if u in self.telling})
-                if span >= mode.least and exact >= mode.bridged and (exact >= mode.least or mode is LETTERS or telling >= 2):
+                if span >= mode.least and exact >= mode.bridged and (mode is LETTERS or telling >= 2):
                     return True
                 if any(a >= s and b <= e for a, b in self.sentences[i]) and changed <= 1:
                     return True
