@@ -14,6 +14,7 @@ from tidegrid.operators.compaction import Compaction, point_records
 from tidegrid.operators.delivery import deduplicate, repeated_messages, sample_set
 from tidegrid.operators.grid import regular_grid
 from tidegrid.operators.intervals import merge_intervals
+from tidegrid.operators.outliers import implausible
 from tidegrid.operators.percentiles import histogram_percentiles, merge_histograms, radix_histogram, radix_percentiles
 from tidegrid.operators.trailing import trailing_totals
 from tidegrid.session import materialize, shared_dir
@@ -101,6 +102,24 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return job.run().select("series_hash", "resolution", "ts")
 
 
+#: Bounds of the possible per metric; any other metric is not negative.
+BOUNDS = {"cpu_busy_percent": (0.0, 100.0), "humidity_percent": (0.0, 100.0), "error_ratio": (0.0, 1.0), "temperature_celsius": (-273.15, None)}
+
+
+def p6_readings(spark: SparkSession, sf: str) -> DataFrame:
+    """Every implausible current sample with the reason."""
+    low, high = F.lit(0.0), F.lit(None).cast("double")
+    for metric, (a, b) in BOUNDS.items():
+        low, high = F.when(F.col("metric") == metric, F.lit(a)).otherwise(low), F.when(F.col("metric") == metric, F.lit(b).cast("double")).otherwise(high)
+    s = _table(spark, sf, "samples").select("series_ref", "ts", "value", "seq", low.alias("low"), high.alias("high"))
+    return implausible(current_rows(s, ["series_ref"], carry=["low", "high"]), "series_ref", "ts", "value", "low", "high")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Spikes, stuck stretches and impossible values among the current samples."""
+    return p6_readings(spark, sf).select("series_ref", "ts")
+
+
 def _metric_values(spark: SparkSession, sf: str) -> DataFrame:
     s = _table(spark, sf, "samples").select("series_ref", "metric", F.col("labels")["region"].alias("region"), "ts", "value", "seq")
     return current_rows(s, ["series_ref", "metric", "region"]).where(is_finite(F.col("value"))).select("metric", "region", "ts", "value")
@@ -129,4 +148,4 @@ def p7_merged_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_grid": p1_grid, "p2_found": p2_found, "p3_found": p3_found, "p3_totals": p3_totals, "p4_found": p4_found, "p4_messages": p4_messages, "p5_found": p5_found, "p7_percentiles": p7_percentiles, "p7_merged_days": p7_merged_days}
+    return {"p1_found": p1_found, "p1_grid": p1_grid, "p2_found": p2_found, "p3_found": p3_found, "p3_totals": p3_totals, "p4_found": p4_found, "p4_messages": p4_messages, "p5_found": p5_found, "p6_found": p6_found, "p7_percentiles": p7_percentiles, "p7_merged_days": p7_merged_days}
