@@ -21,7 +21,7 @@ def _floor_to(ts: Column, step: Column) -> Column:
     return ts - F.pmod(ts, step)
 
 
-def regular_grid(readings: DataFrame, keys: list[str], ts: str, value: str, period_ms: str, max_gap_periods: int = 5, tile_periods: int = 1440) -> DataFrame:
+def regular_grid(readings: DataFrame, keys: list[str], ts: str, value: str, period_ms: str, max_gap_periods: int = 5, tile_periods: int = 1440, unique_times: bool = False) -> DataFrame:
     """One row per key and period from the period of the first to that of the last reading.
 
     ``readings`` holds the readings only; ``period_ms`` names the column with the length of the source's period
@@ -29,6 +29,8 @@ def regular_grid(readings: DataFrame, keys: list[str], ts: str, value: str, peri
     ``n`` (readings in the period, 0 if none), ``value`` (last reading of the period, the greatest if several
     have the last time; in empty periods the one carried forward, null if missing), ``status`` observed / filled / missing.
 
+    ``unique_times`` says that no key holds two readings of one time, which saves a shuffle.
+
     Defined cases: a null time or a null or non-positive period has no place on a grid and is left out; a null
     value counts as a reading without value; null keys form a source of their own; repeated rows count in ``n``;
     an empty table gives an empty grid; other columns are ignored, whatever their names.
@@ -37,7 +39,10 @@ def regular_grid(readings: DataFrame, keys: list[str], ts: str, value: str, peri
     base = readings.select(
         *[F.col(f"`{c}`").alias(a) for c, a in zip(keys, k)], F.col(f"`{period_ms}`").cast("long").alias("_p"), F.col(f"`{ts}`").cast("long").alias("_t"), F.col(f"`{value}`").cast("double").alias("_v")
     ).where(F.col("_t").isNotNull() & (F.col("_p") > 0))
-    at_once = base.groupBy(*k, "_p", "_t").agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_v"))
+    if unique_times:
+        at_once = base.withColumn("_c", F.lit(1).cast("long"))
+    else:
+        at_once = base.groupBy(*k, "_p", "_t").agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_v"))
     start = _floor_to(F.col("_t"), F.col("_p"))
     tile = _floor_to(F.col("_t"), F.col("_p") * F.lit(tile_periods))
     observed = at_once.groupBy(*k, "_p", tile.alias("_tile"), start.alias("_s")).agg(F.sum("_c").alias("_n"), F.max_by("_v", "_t").alias("_v"))
@@ -49,11 +54,15 @@ def _unroll(observed: DataFrame, keys: list[str], k: list[str], max_gap_periods:
     span = F.col("_p") * F.lit(tile_periods)
     ends = packed.groupBy(*k, "_p").agg(F.min("_tile").alias("_t0"), F.max("_tile").alias("_t1"), F.min(F.element_at("_obs", 1)["_s"]).alias("_first"), F.max(F.element_at("_obs", -1)["_s"]).alias("_last"))
     tiles = ends.withColumn("_tile", F.explode(F.sequence("_t0", "_t1", span))).drop("_t0", "_t1")
+    # Only the last observation of each tile goes through the window; the arrays stay where they are.
+    def match(right: DataFrame) -> list[Column]:
+        return [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in k] + [F.col(c) == F.col(f"_r{c}") for c in ("_p", "_tile")]
+
     right = packed.select(*[F.col(c).alias(f"_r{c}") for c in [*k, "_p", "_tile"]], "_obs")
-    on = [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in k] + [F.col(c) == F.col(f"_r{c}") for c in ("_p", "_tile")]
-    joined = tiles.join(right, on, "left").select(*k, "_p", "_tile", "_first", "_last", "_obs")
+    last = right.select(*[f"_r{c}" for c in [*k, "_p", "_tile"]], F.element_at("_obs", -1).alias("_end"))
     before = Window.partitionBy(*k, "_p").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
-    joined = joined.withColumn("_carry", F.last(F.element_at("_obs", -1), ignorenulls=True).over(before))
+    tiles = tiles.join(last, match(last), "left").withColumn("_carry", F.last("_end", ignorenulls=True).over(before)).select(*k, "_p", "_tile", "_first", "_last", "_carry")
+    joined = tiles.join(right, match(right), "left").select(*k, "_p", "_tile", "_first", "_last", "_carry", "_obs")
     # Segments: from one observed period up to the next; the first begins with the tile and holds what was carried in.
     lo, hi = F.greatest("_tile", "_first"), F.least(F.col("_tile") + span - F.col("_p"), F.col("_last"))
     segments = F.concat(F.when(F.col("_carry").isNotNull(), F.array(F.col("_carry"))).otherwise(F.array()), F.coalesce("_obs", F.array()))

@@ -31,9 +31,14 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
     return current_rows(_table(spark, sf, "samples").select("series_ref", "ts", "value", "seq"), ["series_ref"]).where(is_finite(F.col("value")))
 
 
-def _series_readings(spark: SparkSession, sf: str) -> DataFrame:
-    s = _table(spark, sf, "series").select("series_ref", series_hash(F.col("series_hash")).alias("series_hash"), resolution(F.col("resolution")).alias("resolution"), resolution_length(F.col("resolution")).alias("period_ms"))
-    return lookup_join(readings(spark, sf), s, ["series_ref"])
+def _series(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "series").select("series_ref", series_hash(F.col("series_hash")).alias("series_hash"), resolution(F.col("resolution")).alias("resolution"), resolution_length(F.col("resolution")).alias("period_ms"))
+
+
+def _sample_grid(spark: SparkSession, sf: str) -> DataFrame:
+    # The grid goes by the 8 bytes of series_ref; hash and resolution are looked up for what comes out of it.
+    timed = lookup_join(readings(spark, sf), _series(spark, sf).select("series_ref", "period_ms"), ["series_ref"])
+    return regular_grid(timed, ["series_ref"], "ts", "value", "period_ms", unique_times=True)
 
 
 def _rollup_readings(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,16 +50,15 @@ def _rollup_readings(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Every series on the grid of its resolution, periods observed, filled or missing."""
-    return regular_grid(_series_readings(spark, sf), ["series_ref", "series_hash", "resolution"], "ts", "value", "period_ms")
+    return lookup_join(_sample_grid(spark, sf), _series(spark, sf).drop("period_ms"), ["series_ref"])
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Grid periods without data, of samples and of rollup points."""
-    both = _series_readings(spark, sf).select(F.lit("samples").alias("origin"), "series_hash", "resolution", "period_ms", "ts", "value").unionByName(
-        _rollup_readings(spark, sf).select(F.lit("rollup_points").alias("origin"), "series_hash", "resolution", "period_ms", "ts", "value")
-    )
-    grid = regular_grid(both, ["origin", "series_hash", "resolution"], "ts", "value", "period_ms")
-    return grid.where(F.col("n") == 0).select("origin", "series_hash", "resolution", F.col("period_start").alias("ts"))
+    samples = lookup_join(_sample_grid(spark, sf).where(F.col("n") == 0).select("series_ref", "period_start"), _series(spark, sf).drop("period_ms"), ["series_ref"])
+    rollups = regular_grid(_rollup_readings(spark, sf), ["series_hash", "resolution"], "ts", "value", "period_ms").where(F.col("n") == 0)
+    columns = ["origin", "series_hash", "resolution", F.col("period_start").alias("ts")]
+    return samples.withColumn("origin", F.lit("samples")).select(*columns).unionByName(rollups.withColumn("origin", F.lit("rollup_points")).select(*columns))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
