@@ -23,7 +23,8 @@ def series_hash(c: Column) -> Column:
     fits = number <= F.lit("18446744073709551615").cast("decimal(38,0)")
     as_text = F.when(is_dec & fits, number.cast("string")).otherwise(F.lit("0"))
     from_dec = F.lpad(F.lower(F.conv(as_text, 10, 16)), 16, "0")
-    return F.when(t.startswith("0x") & is_hex, F.lpad(digits, 16, "0")).when(is_dec & fits, from_dec).when(is_hex, F.lpad(digits, 16, "0")).otherwise(t)
+    # The common spelling first: the other branches are then not evaluated.
+    return F.when(c.rlike(r"\A[0-9a-f]{16}\z"), c).when(t.startswith("0x") & is_hex, F.lpad(digits, 16, "0")).when(is_dec & fits, from_dec).when(is_hex, F.lpad(digits, 16, "0")).otherwise(t)
 
 
 def duration_ms(c: Column) -> Column:
@@ -42,15 +43,19 @@ def resolution(c: Column) -> Column:
     """``1m``, ``5m`` or ``1h`` for any spelling of these lengths; other text comes back trimmed and lower-cased."""
     ms = duration_ms(c)
     out = F.lower(F.trim(c))
+    plain = F.lower(c)
     for name, length in RESOLUTION_MS.items():
         out = F.when(ms == length, F.lit(name)).otherwise(out)
-    return out
+    return F.when(plain.isin(*RESOLUTION_MS), plain).otherwise(out)
 
 
 def resolution_length(c: Column) -> Column:
     """Milliseconds of a resolution text in any spelling; null where it is not a positive duration."""
     ms = duration_ms(c)
-    return F.when(ms > 0, ms)
+    out = F.when(ms > 0, ms)
+    for name, length in RESOLUTION_MS.items():
+        out = F.when(c == name, F.lit(length).cast("long")).otherwise(out)
+    return out
 
 
 def hex_number(c: Column) -> Column:
