@@ -39,7 +39,7 @@ def _function(name: str) -> Callable[[SparkSession, str], DataFrame]:
         e = dedup_last(events(spark, sf))
         fn = (REGISTRY | EXTRA)[name]
         v = e.groupBy("metric", "labels", "series_key").agg(F.max("ts").alias("ts"), fn(F.col("ts"), F.col("value"), F.col("seq")).alias("value"))
-        return _flat(v, "ts", F.round("value", 3 if name == "variance" else 6).alias("value") if name not in ("first", "last", "max", "min", "count") else "value")
+        return _flat(v, "ts", F.round("value", 8 if name == "variance" else 6).alias("value") if name not in ("first", "last", "max", "min", "count") else "value")
 
     return run
 
@@ -182,7 +182,7 @@ def oracle_sql() -> dict[str, str]:
         "sum": "round(sum(value), 6)", "avg": "round(avg(value), 6)", "max": "max(value)", "min": "min(value)", "count": "CAST(count(*) AS DOUBLE)",
         "delta": "round(CASE WHEN count(*) < 2 THEN 0 ELSE arg_max(value, (ts, seq)) - arg_min(value, (ts, seq)) END, 6)",
         "rate": "round(CASE WHEN count(*) < 2 OR max(ts) = min(ts) THEN 0 ELSE (arg_max(value, (ts, seq)) - arg_min(value, (ts, seq))) / ((max(ts) - min(ts)) / 1000.0) END, 6)",
-        "stddev": "round(stddev_pop(value), 6)", "variance": "round(var_pop(value), 3)", "first": "arg_min(value, (ts, seq))", "last": "arg_max(value, (ts, seq))",
+        "stddev": "round(stddev_pop(value), 6)", "variance": "round(var_pop(value), 8)", "first": "arg_min(value, (ts, seq))", "last": "arg_max(value, (ts, seq))",
     }
     functions = {f"fn_{k}": f"WITH {_EV} SELECT metric, user_id, max(ts) AS ts, {v} AS value FROM ev {_BY}" for k, v in value.items()}
     last = "SELECT o_orderstatus AS status, o_orderpriority AS priority, epoch_us(o_orderdate) // 1000 AS ts, arg_max(o_totalprice, o_orderkey) AS value FROM orders GROUP BY 1, 2, 3"
