@@ -110,7 +110,7 @@ class Index:
 
     def __init__(self, mode: Mode, items: list[tuple[int, str]]):
         self.mode, units = mode, Units()
-        cut = words if mode is WORDS else _letters
+        cut = words if mode == WORDS else _letters
         self.items = [i for i, _ in items]
         tokens = [cut(plain(p)) for _, p in items]
         self.classes = size_classes(mode)
@@ -217,7 +217,7 @@ class Index:
             for s, e, exact, changed in spans:
                 span = e - s
                 telling = len({u for u in passage[s:e] if u in self.telling})
-                if span >= mode.least and exact >= mode.bridged and (mode is LETTERS or telling >= 2):
+                if span >= mode.least and exact >= mode.bridged and (mode == LETTERS or telling >= 2):
                     return True
                 if any(a >= s and b <= e for a, b in self.sentences[i]) and changed <= 1:
                     return True
@@ -242,7 +242,7 @@ class Index:
                 if n:
                     out.append((p - n + 1, e, e - s + n, 1))
         # A sentence whose first or last unit is the altered one.
-        if self.mode is WORDS:
+        if self.mode == WORDS:
             out.append((max(0, s - 1), e, e - s, 1))
             out.append((s, min(len(passage), e + 1), e - s, 1))
         return out
@@ -257,7 +257,7 @@ def _search(indexes: list[Index]):
             for index in indexes:
                 if not index.items:
                     continue
-                if index.mode is WORDS:
+                if index.mode == WORDS:
                     tokens = {i: words(t) for i, t in enumerate(texts)}
                 else:
                     tokens = {i: _letters(t) for i, t in enumerate(texts) if has_cjk(t)}

@@ -136,7 +136,7 @@ def pack(
     item_id: str,
     tokens: str,
     capacity: int = 2048,
-    max_items: int = 128,
+    max_items: int = 256,
     max_attention: int | None = None,
     weights: tuple[float, float, float] = (1.0, 0.05, 0.05),
     rule: str = "norm",
