@@ -65,9 +65,11 @@ def _unroll(observed: DataFrame, keys: list[str], k: list[str], max_gap_periods:
     joined = tiles.join(right, match(right), "left").select(*k, "_p", "_tile", "_first", "_last", "_carry", "_obs")
     # Segments: from one observed period up to the next; the first begins with the tile and holds what was carried in.
     lo, hi = F.greatest("_tile", "_first"), F.least(F.col("_tile") + span - F.col("_p"), F.col("_last"))
-    segments = F.concat(F.when(F.col("_carry").isNotNull(), F.array(F.col("_carry"))).otherwise(F.array()), F.coalesce("_obs", F.array()))
+    # They stand in a column of their own: looking at the next one must not build the array again.
+    joined = joined.withColumn("_seg", F.concat(F.when(F.col("_carry").isNotNull(), F.array(F.col("_carry"))).otherwise(F.array()), F.coalesce("_obs", F.array())))
+    segments = F.col("_seg")
     segments = F.transform(
-        segments, lambda x, i: F.struct(x.alias("o"), F.greatest(x["_s"], lo).alias("from"), (F.coalesce(F.get(segments, i + 1)["_s"], hi + F.col("_p")) - F.col("_p")).alias("to"))
+        segments, lambda x, i: F.struct(x.alias("o"), F.greatest(x["_s"], lo).alias("from"), (F.coalesce(F.get(F.col("_seg"), i + 1)["_s"], hi + F.col("_p")) - F.col("_p")).alias("to"))
     )
     rows = joined.select(*k, "_p", F.explode(F.filter(segments, lambda x: x["from"] <= x["to"])).alias("_g"))
     rows = rows.select(*k, "_p", F.col("_g.o").alias("_o"), F.explode(F.sequence(F.col("_g.from"), F.col("_g.to"), F.col("_p"))).alias("_at"))
