@@ -27,7 +27,7 @@ def parse_lines(lines: DataFrame, now_ms: int | Column, on_error: str = "fail",
 
     Blank lines and those that begin with ``#`` are skipped. A first field is split at commas without escapes;
     parts without ``=`` are dropped, of a repeated label the last stays. Fields after the third are ignored; a
-    missing time is ``now_ms``. With ``on_error`` 'fail' the first bad line ends the job, with 'quarantine' the
+    missing time is ``now_ms``. With ``on_error`` 'fail' a bad line ends the job (of several, whichever task meets its own first), with 'quarantine' the
     column ``error`` names what is wrong (null for good lines) and ``line`` holds the text.
     """
     trimmed = F.regexp_replace(F.regexp_replace(F.col(f"`{line}`"), r"\A" + _SPACE, ""), _SPACE + r"\z", "")
