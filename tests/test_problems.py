@@ -311,6 +311,21 @@ def test_implausible(spark, tile):
     assert implausible(df.limit(0), "k", "t", "v").count() == 0
 
 
+def test_stuck_runs_do_not_depend_on_tiles(spark):
+    a, b, c = wave(1500, 1), np.full(1500, 7.0), wave(1500, 2)
+    a[150:950] = a[150]  # two whole tiles and the readings around three cuts
+    b[300:600] = wave(300, 3)  # constant by nature, restless in one tile
+    b[400:420] = b[400]
+    c[293:304] = c[293]  # too short
+    c[595:607] = c[595]
+    rows = [(k, i * 360_000, float(v)) for k, y in (("a", a), ("b", b), ("c", c)) for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "k string, t long, v double")
+    want = {("a", i) for i in range(150, 950)} | {("c", i) for i in range(595, 607)}
+    for tile in (300, 100_000):
+        got = [(r.k, r.t // 360_000) for r in implausible(df, "k", "t", "v", tile_rows=tile).collect() if r.reason == "stuck"]
+        assert len(got) == len(want) and set(got) == want, tile
+
+
 # -- 7: percentiles ---------------------------------------------------------------------------------------
 
 

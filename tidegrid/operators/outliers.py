@@ -9,8 +9,10 @@ the range are level changes. Runs of equal values too long for how often the sou
 bounds catch the impossible.
 
 Sources are cut into tiles of about ``tile_rows`` readings at whole hours, found from hourly counts, so a source
-that holds a third of all rows is many tasks. What lies within ``EDGE`` readings of a cut is decided by a second
-pass over the readings around the cut.
+that holds a third of all rows is many tasks. Spikes within ``EDGE`` readings of a cut are decided by a second
+pass over the readings around the cut. Which runs are stuck is decided for the whole source: every tile gives its
+counts and the runs at its cuts, these are joined to runs of their true length, and the least length of a stuck run
+follows from the sums.
 """
 
 from __future__ import annotations
@@ -94,20 +96,24 @@ def _run_lengths(same_as_before: np.ndarray) -> np.ndarray:
     return np.bincount(run)[run]
 
 
-def judge(x: np.ndarray, impossible: np.ndarray, lo: float, hi: float) -> tuple[np.ndarray, np.ndarray]:
-    """Masks of spikes and of stuck readings among the readings ``x`` of one source in time order."""
-    n = len(x)
-    spike, stuck = np.zeros(n, bool), np.zeros(n, bool)
-    if not n:
-        return spike, stuck
+def least_run(n: int, short: int, again: int) -> float:
+    """Least length of a stuck run in a source of ``n`` readings, ``short`` of them in runs below ``STUCK_RUN`` and
+    ``again`` of these equal to the one before; infinite where the source is constant by nature."""
+    if not n or short / n < 0.25:
+        return float("inf")
+    p = again / short
+    return STUCK_RUN if p == 0 else max(STUCK_RUN, 1 + np.log(CHANCE / n) / np.log(min(p, 0.999)))
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which readings equal the one before, and the length of the run each is in."""
     same = np.concatenate(([False], x[1:] == x[:-1]))
-    length = _run_lengths(same)
-    short = length < STUCK_RUN
-    if short.mean() >= 0.25:
-        p = (same & short).sum() / max(1, short.sum())
-        with np.errstate(divide="ignore"):
-            least = STUCK_RUN if p == 0 else max(STUCK_RUN, 1 + np.log(CHANCE / n) / np.log(min(p, 0.999)))
-        stuck = length >= least
+    return same, _run_lengths(same)
+
+
+def spikes(x: np.ndarray, impossible: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    """Mask of spikes among the readings ``x`` of one source in time order."""
+    spike = np.zeros(len(x), bool)
     good = np.flatnonzero(~impossible)
     y = x[good]
     if len(y):
@@ -115,7 +121,17 @@ def judge(x: np.ndarray, impossible: np.ndarray, lo: float, hi: float) -> tuple[
         out = (y < lo) | (y > hi)
         brief = _run_lengths(np.concatenate(([False], (out[1:] == out[:-1])))) <= SPIKE_RUN
         spike[good[flags & brief]] = True
-    return spike, stuck & ~spike
+    return spike
+
+
+def judge(x: np.ndarray, impossible: np.ndarray, lo: float, hi: float) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of spikes and of stuck readings among all the readings ``x`` of one source in time order."""
+    if not len(x):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    same, length = _runs(x)
+    short = length < STUCK_RUN
+    spike = spikes(x, impossible, lo, hi)
+    return spike, (length >= least_run(len(x), short.sum(), (same & short).sum())) & ~spike
 
 
 _ROW = T.StructType(
@@ -128,6 +144,13 @@ _ROW = T.StructType(
         T.StructField("_hi", T.DoubleType()),
         T.StructField("_cut", T.LongType()),
         T.StructField("reason", T.StringType()),
+        # The run a reading is in, as its tile sees it; at an edge it may go on in the tile before (1), after (2) or both.
+        T.StructField("_tile", T.LongType()),
+        T.StructField("_run", T.LongType()),
+        T.StructField("_edge", T.LongType()),
+        # Of rows that stand for a tile: counts of its readings and of its inner runs, values and lengths of the outer ones.
+        *[T.StructField(c, T.LongType()) for c in ("_n", "_short", "_again", "_head", "_tail")],
+        *[T.StructField(c, T.DoubleType()) for c in ("_first", "_last")],
     ]
 )
 
@@ -161,9 +184,13 @@ def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataF
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
-def _rows(g: pd.DataFrame, mask: np.ndarray, reason: str | None, cut: int) -> pd.DataFrame:
-    out = g.loc[mask, ["_key", "_ts", "_v", "_bad", "_lo", "_hi"]].copy()
+def _rows(g: pd.DataFrame, mask: np.ndarray, reason: str | None, cut: int, **tile: float) -> pd.DataFrame:
+    out = g.loc[mask, ["_key", "_ts", "_v", "_bad", "_lo", "_hi", "_tile", "_run", "_edge"]].copy()
     out["_cut"], out["reason"] = cut, reason
+    for c in ("_n", "_short", "_again", "_head", "_tail"):
+        out[c] = int(tile.get(c, 0))
+    for c in ("_first", "_last"):
+        out[c] = float(tile.get(c, 0))
     return out
 
 
@@ -172,18 +199,30 @@ def _tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for g in _groups(batches, ["_key", "_tile"]):
         g = g.reset_index(drop=True)
         n, tile, last = len(g), int(g["_tile"].iloc[0]), int(g["_cuts"].iloc[0])
-        bad = g["_bad"].to_numpy()
-        spike, stuck = judge(g["_v"].to_numpy(), bad, g["_lo"].iloc[0], g["_hi"].iloc[0])
-        at = np.arange(n)
-        ours = np.ones(n, bool)
-        if tile > 0:  # a cut before this tile
-            ours &= at >= EDGE
-            out.append(_rows(g, at < 2 * EDGE, None, tile - 1))
-        if tile < last:
-            ours &= at < n - EDGE
-            out.append(_rows(g, at >= n - 2 * EDGE, None, tile))
-        out += [_rows(g, spike & ours, "spike", -1), _rows(g, stuck & ours & ~bad, "stuck", -1)]
-        size += sum(map(len, out[-4:]))
+        x, bad, lo, hi = g["_v"].to_numpy(), g["_bad"].to_numpy(), g["_lo"].iloc[0], g["_hi"].iloc[0]
+        g["_run"] = g["_edge"] = 0
+        before = len(out)
+        if not last:
+            spike, stuck = judge(x, bad, lo, hi)
+            out += [_rows(g, spike, "spike", -1), _rows(g, stuck & ~bad, "stuck", -1)]
+        else:
+            spike = spikes(x, bad, lo, hi)
+            same, length = _runs(x)
+            at = np.arange(n)
+            edge = np.where((tile > 0) & (at < length[0]), 1, 0) + np.where((tile < last) & (at >= n - length[-1]), 2, 0)
+            g["_run"], g["_edge"] = length, edge
+            short = (length < STUCK_RUN) & (edge == 0)
+            out.append(_rows(g, at == 0, "tile", -1, _n=n, _short=short.sum(), _again=(same & short).sum(), _head=length[0], _tail=length[-1], _first=x[0], _last=x[-1]))
+            ours = np.ones(n, bool)
+            if tile > 0:  # a cut before this tile
+                ours &= at >= EDGE
+                out.append(_rows(g, at < 2 * EDGE, None, tile - 1))
+            if tile < last:
+                ours &= at < n - EDGE
+                out.append(_rows(g, at >= n - 2 * EDGE, None, tile))
+            long = (length >= STUCK_RUN) | (edge > 0)
+            out += [_rows(g, spike & ours, "spike", -1), _rows(g, long & ours & ~spike & ~bad, "run", -1)]
+        size += sum(map(len, out[before:]))
         if size > 20_000 or len(out) > 400:
             yield pd.concat(out, ignore_index=True)
             out, size = [], 0
@@ -191,15 +230,43 @@ def _tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(out, ignore_index=True)
 
 
+def _whole_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each tile the true lengths of the runs at its cuts, and the least stuck run of its source."""
+    for g in _groups(batches, ["_key"]):
+        n, head, tail, first, last = (g[c].to_numpy() for c in ("_n", "_head", "_tail", "_first", "_last"))
+        runs, ends = [], []
+        for i in range(len(g)):
+            starts = ends_in = -1
+            if i > 0:
+                if first[i] == last[i - 1]:
+                    starts = ends[-1][1]
+                else:
+                    starts = len(runs)
+                    runs.append(0)
+                runs[starts] += int(head[i])
+            if i < len(g) - 1:
+                if i > 0 and head[i] == n[i]:
+                    ends_in = starts
+                else:
+                    ends_in = len(runs)
+                    runs.append(int(tail[i]))
+            ends.append((starts, ends_in))
+        short = [r for r in runs if r < STUCK_RUN]
+        least = least_run(int(n.sum()), int(g["_short"].sum()) + sum(short), int(g["_again"].sum()) + sum(short) - len(short))
+        pick = lambda k: [runs[e[k]] if e[k] >= 0 else 0 for e in ends]
+        yield pd.DataFrame({"_key": g["_key"].to_numpy(), "_tile": g["_tile"].to_numpy(), "_starts_with": pick(0), "_ends_with": pick(1), "_least": float(least)})
+
+
 def _seams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for g in _groups(batches, ["_key", "_cut"]):
         g = g.reset_index(drop=True)
         before = int(g["_before"].sum())
         bad = g["_bad"].to_numpy()
-        spike, stuck = judge(g["_v"].to_numpy(), bad, g["_lo"].iloc[0], g["_hi"].iloc[0])
+        spike = spikes(g["_v"].to_numpy(), bad, g["_lo"].iloc[0], g["_hi"].iloc[0])
+        stuck = g["_stuck"].to_numpy() & ~spike & ~bad
         at = np.arange(len(g))
         ours = (at >= before - EDGE) & (at < before + EDGE)
-        yield pd.concat([_rows(g, spike & ours, "spike", -1), _rows(g, stuck & ours & ~bad, "stuck", -1)], ignore_index=True)
+        yield pd.concat([g.loc[mask & ours, ["_key", "_ts", "_v"]].assign(reason=reason) for mask, reason in ((spike, "spike"), (stuck, "stuck"))], ignore_index=True)
 
 
 def _ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,11 +322,16 @@ def implausible(readings: DataFrame, entity: str, ts: str, value: str, low: str
     begun = F.size(F.filter("_starts", lambda s: s <= F.col("_ts")))
     tiled = tiled.select("_key", "_ts", "_v", "_bad", F.coalesce("_lo", F.lit(float("-inf"))).alias("_lo"), F.coalesce("_hi", F.lit(float("inf"))).alias("_hi"), (F.greatest(begun, F.lit(1)) - 1).cast("long").alias("_tile"), (F.size("_starts") - 1).cast("long").alias("_cuts"))
     judged = materialize(tiled.repartition("_key", "_tile").sortWithinPartitions("_key", "_tile", "_ts").mapInPandas(_tiles, _ROW), "plausible-judged")
-    seams = judged.where(F.col("_cut") >= 0)
+    whole = judged.where(F.col("reason") == "tile").select("_key", "_tile", "_n", "_short", "_again", "_head", "_tail", "_first", "_last")
+    whole = whole.repartition("_key").sortWithinPartitions("_key", "_tile").mapInPandas(_whole_runs, "_key string, _tile long, _starts_with long, _ends_with long, _least double")
+    true_run = F.when(F.col("_edge").bitwiseAND(1) > 0, F.col("_starts_with")).when(F.col("_edge") > 0, F.col("_ends_with")).otherwise(F.col("_run"))
+    open_rows = lookup_join(judged.where((F.col("_cut") >= 0) | (F.col("reason") == "run")), materialize(whole, "plausible-runs"), ["_key", "_tile"]).withColumn("_stuck", true_run >= F.col("_least"))
+    stuck = open_rows.where((F.col("_cut") < 0) & F.col("_stuck")).select("_key", "_ts", "_v", F.lit("stuck").alias("reason"))
+    seams = open_rows.where(F.col("_cut") >= 0).select("_key", "_ts", "_v", "_bad", "_lo", "_hi", "_cut", "_stuck")
     # Each side's readings come from its own tile: those before the cut are the ones earlier than the tile's start.
-    seams = lookup_join(seams, usage.select("_key", "_starts"), ["_key"]).withColumn("_before", F.col("_ts") < F.get("_starts", F.col("_cut").cast("int") + 1)).drop("_starts", "reason")
-    seams = seams.repartition("_key", "_cut").sortWithinPartitions("_key", "_cut", "_ts").mapInPandas(_seams, _ROW)
-    found = judged.where(F.col("_cut") < 0).unionByName(seams).select("_key", "_ts", "_v", "reason")
+    seams = lookup_join(seams, usage.select("_key", "_starts"), ["_key"]).withColumn("_before", F.col("_ts") < F.get("_starts", F.col("_cut").cast("int") + 1)).drop("_starts")
+    seams = seams.repartition("_key", "_cut").sortWithinPartitions("_key", "_cut", "_ts").mapInPandas(_seams, "_key string, _ts long, _v double, reason string")
+    found = judged.where(F.col("reason").isin("spike", "stuck")).select("_key", "_ts", "_v", "reason").unionByName(stuck).unionByName(seams)
     found = found.unionByName(rows.where("_bad").select("_key", "_ts", "_v", F.lit("impossible").alias("reason")))
     name = F.when(F.col("_key") != "-", F.substring("_key", 2, 1 << 30)).cast(kind)
     return found.select(name.alias(entity), F.col("_ts").alias(ts), F.col("_v").alias(value), "reason")
