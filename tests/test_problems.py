@@ -13,7 +13,7 @@ from tidegrid.functions.floatkeys import from_key, to_key
 from tidegrid.functions.spelling import duration_ms, hex_number, resolution, series_hash
 from tidegrid.operators.common import current_rows, lookup_join
 from tidegrid.operators.compaction import Compaction
-from tidegrid.operators.delivery import deduplicate, repeated_messages, sample_set
+from tidegrid.operators.delivery import deduplicate, repeated_messages, sample_set, without_repeats
 from tidegrid.operators.grid import regular_grid
 from tidegrid.operators.intervals import IntervalMap, merge_intervals
 from tidegrid.operators.outliers import implausible, judge, natural_range
@@ -204,6 +204,14 @@ def test_repeated_messages(spark):
     assert got == sorted(want)
 
 
+def test_whole_table_without_repeats(spark):
+    rows = [(1, "p", None, "a"), (2, "p", None, "a"), (3, "p", "1", "a"), (4, "p", "2", "b"), (5, "p", "2", "c"), (6, "p", None, "b"), (7, "p", None, "d"), (8, None, None, "a"), (9, "q", "2", "b")]
+    df = spark.createDataFrame(rows, "row long, p string, m string, c string")
+    got = without_repeats(df, "row", "p", "m", ["c"])
+    assert got.columns == df.columns and sorted(tuple(r) for r in got.collect()) == [rows[i] for i in (0, 3, 6, 7, 8)]
+    assert without_repeats(df.limit(0), "row", "p", "m", ["c"]).count() == 0
+
+
 # -- 5: compaction ----------------------------------------------------------------------------------------
 
 

@@ -75,3 +75,12 @@ def repeated_messages(entries: DataFrame, row_id: str, producer: str, message_id
     bare_firsts = first_bare.select(F.col("_id0").alias("_p"), F.col("_id1").alias("_c"), "_row")
     bare_after = bare_firsts.join(named_content, [F.col("_p").eqNullSafe(F.col("_p2")), F.col("_c") == F.col("_c2"), F.col("_row") > F.col("_at")], "left_semi").select("_row")
     return again.unionByName(bare_again).unionByName(named_after).unionByName(bare_after).select(F.col("_row").alias(row_id))
+
+
+def without_repeats(entries: DataFrame, row_id: str, producer: str, message_id: str, content: list[str]) -> DataFrame:
+    """The entries, with and without ``message_id``, less those of :func:`repeated_messages`, whole.
+
+    An entry goes if any entry with a smaller ``row_id`` carries its message, be that one a repeat itself: two ids
+    of equal content with an entry without id between them leave the first entry only.
+    """
+    return entries.join(repeated_messages(entries, row_id, producer, message_id, content), row_id, "left_anti")

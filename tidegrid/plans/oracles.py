@@ -65,6 +65,8 @@ UNION SELECT record_id FROM k WHERE m IS NOT NULL AND record_id > (SELECT min(re
 
 P4_MESSAGES = f"""WITH {_WAL} SELECT record_id, producer, m AS message FROM (SELECT *, row_number() OVER (PARTITION BY producer, m ORDER BY written_at NULLS FIRST, record_id) AS rn FROM k WHERE m IS NOT NULL) WHERE rn = 1"""
 
+P4_DELIVERED = f"""WITH {_WAL} SELECT record_id, producer, m AS message FROM k WHERE record_id NOT IN ({P4_FOUND})"""
+
 P5_FOUND = f"SELECT DISTINCT {_HASH} AS series_hash, {_RES} AS resolution, ts FROM rollup_points"
 
 P7 = f"""WITH v AS (SELECT metric, labels['region'] AS region, value FROM (SELECT *, row_number() OVER (PARTITION BY series_ref, ts ORDER BY seq DESC) AS rn FROM samples) WHERE rn = 1 AND value IS NOT NULL AND isfinite(value)),
@@ -75,4 +77,4 @@ SELECT metric, scope, region, p, max(CASE WHEN i = floor(p * (n - 1)) THEN value
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_grid": P1_GRID, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_totals": P3_TOTALS, "p4_found": P4_FOUND, "p4_messages": P4_MESSAGES, "p5_found": P5_FOUND, "p7_percentiles": P7}
+    return {"p1_found": P1_FOUND, "p1_grid": P1_GRID, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_totals": P3_TOTALS, "p4_found": P4_FOUND, "p4_messages": P4_MESSAGES, "p4_delivered": P4_DELIVERED, "p5_found": P5_FOUND, "p7_percentiles": P7}

@@ -11,7 +11,7 @@ from tidegrid.functions.floatkeys import to_key
 from tidegrid.functions.spelling import RESOLUTION_MS, hex_number, is_finite, resolution, resolution_length, series_hash
 from tidegrid.operators.common import current_rows, lookup_join
 from tidegrid.operators.compaction import Compaction, point_records
-from tidegrid.operators.delivery import deduplicate, repeated_messages, sample_set
+from tidegrid.operators.delivery import deduplicate, repeated_messages, sample_set, without_repeats
 from tidegrid.operators.grid import regular_grid
 from tidegrid.operators.intervals import merge_intervals
 from tidegrid.operators.outliers import implausible
@@ -98,6 +98,12 @@ def p4_messages(spark: SparkSession, sf: str) -> DataFrame:
     return deduplicate(m, ["producer", "message"], "record_id", ["written_at"]).select("record_id", "producer", "message")
 
 
+def p4_delivered(spark: SparkSession, sf: str) -> DataFrame:
+    """Every entry, with or without an id, that p4_found does not name: the whole table without repeats."""
+    kept = without_repeats(_messages(spark, sf), "record_id", "producer", "message", ["series_ref", "sample_set"])
+    return kept.select("record_id", "producer", "message")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every distinct rollup point once, read from the compacted files."""
     files = _table(spark, sf, "rollup_files")
@@ -152,4 +158,4 @@ def p7_merged_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_grid": p1_grid, "p2_found": p2_found, "p3_found": p3_found, "p3_totals": p3_totals, "p4_found": p4_found, "p4_messages": p4_messages, "p5_found": p5_found, "p6_found": p6_found, "p7_percentiles": p7_percentiles, "p7_merged_days": p7_merged_days}
+    return {"p1_found": p1_found, "p1_grid": p1_grid, "p2_found": p2_found, "p3_found": p3_found, "p3_totals": p3_totals, "p4_found": p4_found, "p4_messages": p4_messages, "p4_delivered": p4_delivered, "p5_found": p5_found, "p6_found": p6_found, "p7_percentiles": p7_percentiles, "p7_merged_days": p7_merged_days}
