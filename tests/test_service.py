@@ -15,7 +15,7 @@ from tidegrid.cli import main, when
 from tidegrid.operators.rollup import downsample
 from tidegrid.operators.select import dedup_last
 from tidegrid.sources.store import Store
-from tidegrid.streaming.ingest import ingest_lines, read_rollups, rollup_aggregate, rollup_stream
+from tidegrid.streaming.ingest import ingest_lines, read_rejected, read_rollups, rollup_aggregate, rollup_stream
 from tidegrid.streaming.intervals import stream_periods
 
 
@@ -80,6 +80,27 @@ def test_stream_of_lines_and_rollups(spark, tmp_path):
     assert rollup_aggregate(stream, "5m", "1 hour").isStreaming
 
 
+def test_lines_keep_their_order_in_a_split_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines = [f"m,h={i % 7} {i} 1000" if i % 50 else f"broken{i}" for i in range(2000)]
+    (tmp_path / "in" / "a.txt").write_text("\n" * 300 + "\n".join(lines) + "\n")
+    conf = {"spark.sql.files.maxPartitionBytes": "256", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.maxPartitionNum": "9"}
+    for limit in (True, False):  # several splits in a partition, and one
+        try:
+            for k, v in conf.items():
+                if limit or k != "spark.sql.files.maxPartitionNum":
+                    spark.conf.set(k, v)
+            db = f"{tmp_path}/db{limit}"
+            ingest_lines(spark, str(tmp_path / "in"), db, f"{tmp_path}/ck{limit}", 0).awaitTermination()
+        finally:
+            for k in conf:
+                spark.conf.unset(k)
+        rows = sorted((r.seq, r.value) for r in Store(spark, db).scan().collect())
+        assert len({s for s, _ in rows}) == len(rows) and [v for _, v in rows] == [i for i in range(2000) if i % 50]
+        rejected = read_rejected(spark, db).orderBy("seq").collect()
+        assert [r.line for r in rejected] == [f"broken{i}" for i in range(0, 2000, 50)] and all(r.error for r in rejected)
+
+
 def test_stream_of_intervals(spark, tmp_path):
     src, out = tmp_path / "iv", {}
     src.mkdir()

@@ -12,29 +12,57 @@ from tidegrid.operators.select import dedup_last
 from tidegrid.sources.line_protocol import parse_lines
 from tidegrid.sources.store import Store
 
-#: Rows of one micro-batch that the order of writes leaves room for.
-_BATCH_ROWS = 1 << 33
+#: Bytes of one micro-batch's file that the order of writes leaves room for.
+_BATCH_BYTES = 1 << 40
 
 
 def line_stream(spark: SparkSession, folder: str, max_files: int = 1) -> DataFrame:
-    """Lines of the text files that appear in a folder; one file a batch keeps the order of arrival."""
-    return spark.readStream.option("maxFilesPerTrigger", max_files).text(folder)
+    """Lines (``value``) of the text files that appear in a folder and the split of the file (``file``, ``start``) each
+    was read in; one file a batch keeps the order of arrival."""
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(folder)
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+
+
+def in_file_order(batch: DataFrame) -> DataFrame:
+    """The lines of a batch with ``at``, which grows with the position in the file, however the file was split.
+
+    A line is at the start of its split plus its row there, which is never beyond its first byte: a line has a byte
+    at least, and the first line of a later split begins behind the split's start.
+    """
+    rows = batch.withColumn("_row", F.monotonically_increasing_id())
+    # A partition may hold several splits, so rows count from the first of the split.
+    firsts = rows.groupBy("file", "start").agg(F.min("_row").alias("_first"))
+    at = F.col("start") + (F.col("start") > 0).cast("long") + F.col("_row") - F.col("_first")
+    return rows.join(F.broadcast(firsts), ["file", "start"]).select("value", at.alias("at"))
 
 
 def ingest_lines(spark: SparkSession, folder: str, root: str, checkpoint: str, now_ms: int, available_now: bool = True) -> StreamingQuery:
-    """Parse lines into a store. A batch that is repeated after a failure replaces what it wrote before."""
+    """Parse lines into a store. A batch that is repeated after a failure replaces what it wrote before.
+
+    Bad lines (``seq``, ``line``, ``error``) go to ``rejected/batch=<n>`` below ``root``, see :func:`read_rejected`.
+    """
     store = Store(spark, root)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good = parse_lines(batch, now_ms, "quarantine").where(F.col("error").isNull())
         # Arrival: the batch, then the position within its file; a repeated batch gives the same numbers.
-        order = F.lit(batch_id * _BATCH_ROWS) + F.monotonically_increasing_id() % F.lit(_BATCH_ROWS)
-        store.append(good.drop("error", "line").withColumn("seq", order))
+        numbered = in_file_order(batch).select("value", (F.lit(batch_id * _BATCH_BYTES) + F.col("at")).alias("seq"))
+        parsed = parse_lines(numbered, now_ms, "quarantine", seq="seq").persist()
+        try:
+            rejected = parsed.where(F.col("error").isNotNull()).select("seq", "line", "error")
+            rejected.write.mode("overwrite").parquet(f"{store.root}/rejected/batch={batch_id}")
+            store.append(parsed.where(F.col("error").isNull()).drop("error", "line"))
+        finally:
+            parsed.unpersist()
 
     w = line_stream(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="2 minutes")).start()
 
 
+def read_rejected(spark: SparkSession, root: str) -> DataFrame:
+    """(``seq``, ``line``, ``error``, ``batch``) of every line that :func:`ingest_lines` could not read."""
+    return spark.read.schema("seq long, line string, error string, batch long").parquet(f"{root.rstrip('/')}/rejected")
+
+
 def rollup_stream(spark: SparkSession, samples_path: str, rollup_root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Recompute the hours that a batch touches from the deduplicated samples, so rewrites are not counted twice.
 
