@@ -14,6 +14,7 @@ from tidegrid.api import serve
 from tidegrid.cli import main, when
 from tidegrid.operators.rollup import downsample
 from tidegrid.operators.select import dedup_last
+from tidegrid.sources.line_protocol import parse_lines
 from tidegrid.sources.store import Store
 from tidegrid.streaming.ingest import ingest_lines, read_rejected, read_rollups, rollup_aggregate, rollup_stream
 from tidegrid.streaming.intervals import stream_periods
@@ -80,6 +81,13 @@ def test_stream_of_lines_and_rollups(spark, tmp_path):
     assert rollup_aggregate(stream, "5m", "1 hour").isStreaming
 
 
+def test_manifest_counts_series_exactly(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "db"))
+    lines = spark.range(8000).select(F.concat(F.lit("m,h="), (F.col("id") % 5000).cast("string"), F.lit(" 1 "), F.col("id").cast("string")).alias("value"), F.col("id").alias("seq"))
+    s.append(parse_lines(lines, 0, seq="seq"))
+    assert [(r.num_series, r.num_samples, r.min_time, r.max_time) for r in s.manifest().collect()] == [(5000, 8000, 0, 7999)]
+
+
 def test_lines_keep_their_order_in_a_split_file(spark, tmp_path):
     (tmp_path / "in").mkdir()
     lines = [f"m,h={i % 7} {i} 1000" if i % 50 else f"broken{i}" for i in range(2000)]

@@ -84,4 +84,6 @@ class Store:
         if "_metadata" not in df.columns and not df.inputFiles():
             return self.spark.createDataFrame([], "file string, bytes long, min_time long, max_time long, num_series long, num_samples long")
         m = df.select("ts", "series_key", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
-        return m.groupBy("file").agg(F.max("size").alias("bytes"), F.min("ts").alias("min_time"), F.max("ts").alias("max_time"), F.approx_count_distinct("series_key").alias("num_series"), F.count(F.lit(1)).alias("num_samples"))
+        # By file and series first: the count of series is exact without a set of them in memory.
+        m = m.groupBy("file", "series_key").agg(F.max("size").alias("bytes"), F.min("ts").alias("min_time"), F.max("ts").alias("max_time"), F.count(F.lit(1)).alias("n"))
+        return m.groupBy("file").agg(F.max("bytes").alias("bytes"), F.min("min_time").alias("min_time"), F.max("max_time").alias("max_time"), F.count("series_key").alias("num_series"), F.sum("n").alias("num_samples"))
