@@ -246,6 +246,18 @@ def test_compaction(spark):
     assert contents(make().run()) == newest(rows) and make().committed() == before
 
 
+def test_compaction_keeps_records_of_a_null_file(spark):
+    rows, records, listing = small_files(spark, 8)
+    rows += [(None, None, f"lost{i}", 0, 99, 1.0) for i in range(5)] + [(None, "p", "k1", 1, 99, 2.0)]
+    records = spark.createDataFrame(rows, records.schema)
+    for files in (listing, listing.unionByName(spark.createDataFrame([(None, "p", 7), (None, None, None)], listing.schema))):
+        root = shared_dir(spark, "nameless")
+        make = lambda: Compaction(records, files, root, ["k", "ts"], ["written"], fan_in=8)  # noqa: E731, B023
+        assert contents(make().run()) == newest(rows)
+        before = make().committed()
+        assert contents(make().run()) == newest(rows) and make().committed() == before
+
+
 def test_compaction_survives_a_crash_before_any_commit(spark, monkeypatch):
     rows, records, listing = small_files(spark)
     for failing in range(3):

@@ -27,6 +27,8 @@ from tidegrid.operators.common import lookup_join
 MB = 1 << 20
 _LISTING = "file string, part string, bytes long"
 _PLAN = "file string, part string, txn int, output string"
+#: The name of the file of records and listings whose file is null.
+_NAMELESS = "\0"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -42,7 +44,7 @@ class Compaction:
     ``listing``: ``file``, ``part``, ``bytes`` of the files from outside; null or negative sizes count as 0.
     Of records with equal keys the one greatest by ``order`` stays (nulls lowest). Files that the listing lacks
     are taken from the records; files without records are consumed and leave nothing. Null keys are ordinary
-    values; an empty listing gives an empty result.
+    values; a null file is one file of its own; an empty listing gives an empty result.
     """
 
     records: DataFrame
@@ -58,6 +60,7 @@ class Compaction:
 
     def __post_init__(self) -> None:
         self.spark = self.records.sparkSession
+        self.records = self.records.withColumn("file", F.coalesce("file", F.lit(_NAMELESS)))
 
     # -- journal ------------------------------------------------------------------------------------------
 
@@ -73,6 +76,9 @@ class Compaction:
 
     def _sources(self) -> DataFrame:
         known = self.listing.select(F.col("file").cast("string").alias("file"), "part", F.greatest(F.coalesce("bytes", F.lit(0)), F.lit(0)).cast("long").alias("bytes"))
+        nameless = known.where(F.col("file").isNull()).agg(F.first("part").alias("part"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+        nameless = nameless.where(F.col("n") > 0).select(F.lit(_NAMELESS).alias("file"), "part", "bytes")
+        known = known.where(F.col("file").isNotNull()).unionByName(nameless)
         held = self.records.groupBy("file").agg(F.first("part").alias("part"), (F.count(F.lit(1)) * 100).alias("bytes"))
         return known.unionByName(held.join(known.select("file"), "file", "left_anti").select("file", "part", "bytes"))
 
