@@ -346,6 +346,51 @@ def test_stuck_runs_do_not_depend_on_tiles(spark):
         assert len(got) == len(want) and set(got) == want, tile
 
 
+def test_a_reading_far_off_its_neighbours_is_a_spike_within_the_daily_range():
+    rng = np.random.default_rng(9)
+    y = 50 + 40 * np.sin(np.arange(4000) / 300) + rng.normal(0, 0.3, 4000)
+    planted = [500, 1200, 2000, 2001, 3300]
+    y[planted] += [30, -30, 25, 25, 45]
+    found = lambda y, **k: np.flatnonzero(judge(y, np.zeros(len(y), bool), y.min(), y.max(), **k)[0]).tolist()
+    assert found(y) == planted
+    # Short visits to a level that the source also stays at are ordinary.
+    levels = np.repeat(rng.permutation([20.0, 400.0] * 60), rng.integers(2, 30, 120)) + rng.normal(0, 5, 1)
+    assert found(levels + rng.normal(0, 2, len(levels))) == []
+
+
+def test_the_ellipsoid_decides():
+    rng = np.random.default_rng(10)
+    y = rng.uniform(0, 10, 4000)
+    y[[698, 699, 700, 701, 702, 2000]] = [8, 6, 13.6, 4, 8, 60]
+    lo, hi = natural_range(5.0, (0.5, 9.5), np.sort(y), np.sort(y))
+    assert hi < 10
+    found = lambda **k: np.flatnonzero(judge(y, np.zeros(4000, bool), lo, hi, **k)[0]).tolist()
+    assert found() == [2000] and found(ellipsoid=False) == [700, 2000]
+
+
+def test_sources_that_count_in_steps_have_no_gaps():
+    values = np.array([0.0, 1, 2, 3, 4, 5, 60])
+    assert natural_range(1.0, (0.0, 2.0), values, values) == (0, 5)
+
+
+def test_results_do_not_depend_on_tiles(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for key, step in (("slow", 360_000), ("dense", 40)):  # of the dense source whole hours hold more than a tile
+        y = 50 + 40 * np.sin(np.arange(9000) / 300) + rng.normal(0, 0.3, 9000)
+        for a, n in ((250, 200), (1900, 700), (5000, 1500)):
+            y[a : a + n] = y[a]
+        for i in (3, 298, 299, 300, 301, 600, 1997, 2000, 4000, 4001, 8999):
+            y[i] += rng.choice([-30, 30, 400])
+        y[[700, 6000]] = np.inf
+        rows += [(key, i * step, float(v)) for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "k string, t long, v double").repartition(5)
+    got = {tile: sorted(tuple(r) for r in implausible(df, "k", "t", "v", tile_rows=tile).collect()) for tile in (300, 2000, 100_000)}
+    assert got[300] == got[2000] == got[100_000]
+    reasons = {r: sum(x[3] == r for x in got[300]) for r in ("spike", "stuck", "impossible")}
+    assert reasons["stuck"] > 4700 and reasons["spike"] >= 14 and reasons["impossible"] == 4
+
+
 # -- 7: percentiles ---------------------------------------------------------------------------------------
 
 

@@ -1,93 +1,212 @@
 """Implausible readings, judged by the usual behaviour of their own source: phase-space thresholding.
 
-For each source a histogram of values (bins by the logarithm of the distance from the median, each with its
-extremes) gives the natural range: from the middle outwards until the next value lies further off than anything
-before it by ``GAP`` of that distance. In time order, robust ellipsoids over value, first and second difference
-flag readings outside them; flagged ones beyond the natural range that last for a few readings are spikes, are
-replaced by the reading before, and the ellipsoids are fitted again until nothing is added. Longer stays beyond
-the range are level changes. Runs of equal values too long for how often the source repeats itself are stuck;
-bounds catch the impossible.
-
-Sources are cut into tiles of about ``tile_rows`` readings at whole hours, found from hourly counts, so a source
-that holds a third of all rows is many tasks. Spikes within ``EDGE`` readings of a cut are decided by a second
-pass over the readings around the cut. Which runs are stuck is decided for the whole source: every tile gives its
-counts and the runs at its cuts, these are joined to runs of their true length, and the least length of a stuck run
-follows from the sums.
+In time order, robust ellipsoids over value, first and second difference, with centre and axes from the whole
+source, flag the readings outside them. Flagged ones are spikes if they last for a few readings only and lie
+beyond what is natural for the source; they give way to the reading before and the flags are taken again until
+nothing is added. Natural are, against long tails, levels and cycles, two ranges found by a gap rule on mergeable
+histograms: that of the values, and that of the distance from the median of the readings around, which is no less
+than the level changes of the source. So a reading far off its neighbours is a spike even where other times of the
+day have such values. Longer stays beyond the ranges are level changes. Runs of equal values too long for how often the source repeats itself are stuck; bounds
+catch the impossible.
+
+Sources of more than ``tile_rows`` readings are cut into tiles, at whole hours or, in hours with more readings than
+that, at whole seconds. All that judges a reading comes from the whole source: tiles give counts, histograms,
+the runs and the readings at their ends; these add up to the ellipsoid, the ranges, the true lengths of runs across
+cuts and the least length of a stuck run; then each tile is judged with the readings around its cuts. The results
+are those of the uncut source.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidegrid.operators.common import lookup_join
 from tidegrid.session import materialize
 
-#: A value is far outside if it leaves a gap of this share of the distance from the median natural so far.
-GAP = 0.7
-#: Longest spike, least stuck run, and readings on each side of a cut that the second pass decides.
-SPIKE_RUN, STUCK_RUN, EDGE = 5, 12, 64
+#: A value is beyond the natural if it leaves a gap of this share of the distance natural so far.
+GAP, LOCAL_GAP = 0.7, 5.0
+#: Longest spike, least stuck run, readings on each side of one that its local median takes.
+SPIKE_RUN, STUCK_RUN, AROUND = 5, 12, 5
+#: Readings of its neighbours that a tile is judged with on each side.
+HALO = 128
+#: Fewer readings than that have no usual distance from their neighbours.
+LOCAL_LEAST = 64
+#: Readings on each side that the behaviour at a reading depends on.
+MARGIN = 2 * AROUND + 1
+_AXES = ("slope", "bend", "off", "shift")
 #: Expected number of runs of that length by chance above which a run is ordinary.
 CHANCE = 0.01
-_HOUR = 3_600_000
+_HOUR, _SECOND = 3_600_000, 1_000
+
+
+# -- histograms that add up -------------------------------------------------------------------------------
+
+
+@dataclass
+class Histogram:
+    """Counts and extremes of non-negative numbers in bins of a sixteenth of a doubling; zero has a bin of its own."""
+
+    bins: np.ndarray
+    count: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
+
+    @classmethod
+    def of(cls, a: np.ndarray) -> Histogram:
+        with np.errstate(divide="ignore"):
+            b = np.where(a > 0, np.floor(np.log2(a) * 16), -(10**6)).astype(np.int64)
+        return cls(b, np.ones(len(a), np.int64), a, a).folded()
+
+    @classmethod
+    def together(cls, parts: list[Histogram]) -> Histogram:
+        return cls(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("bins", "count", "least", "most"))).folded()
+
+    def folded(self) -> Histogram:
+        if not len(self.bins):
+            return self
+        order = np.argsort(self.bins, kind="stable")
+        b = self.bins[order]
+        at = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+        return Histogram(b[at], np.add.reduceat(self.count[order], at), np.minimum.reduceat(self.least[order], at), np.maximum.reduceat(self.most[order], at))
+
+    def quantile(self, q: float) -> float:
+        """The middle of the bin that holds the quantile; 0 without numbers."""
+        if not len(self.bins):
+            return 0.0
+        k = np.searchsorted(np.cumsum(self.count), q * self.count.sum())
+        k = min(int(k), len(self.bins) - 1)
+        return float(self.least[k] / 2 + self.most[k] / 2)
+
+    def natural(self, start: float, gap: float) -> float:
+        """How far numbers go from ``start`` without a gap."""
+        reach = start
+        for n, f in zip(self.least, self.most):
+            if n > reach * (1 + gap):
+                break
+            reach = max(reach, float(f))
+        return reach
 
 
 def natural_range(median: float, start: tuple[float, float], lows: np.ndarray, highs: np.ndarray) -> tuple[float, float]:
-    """Ends of the natural range from histogram bins sorted by value, each with its least and greatest value."""
+    """Ends of the natural range of values from bins sorted by value, each with its least and greatest value.
 
-    def walk(near: np.ndarray, far: np.ndarray, reach: float) -> float:
-        for n, f in zip(near, far):
-            if n > reach * (1 + GAP):
+    Neighbouring values of a source that counts in steps leave no gap: it must be wider than the least step seen
+    within ``start``.
+    """
+    within = (highs[:-1] >= start[0]) & (lows[1:] <= start[1])
+    steps = (lows[1:] - highs[:-1])[within]
+    step = 1.5 * float(steps[steps > 0].min(initial=np.inf)) if (steps > 0).any() else 0.0
+
+    def walk(near: np.ndarray, far: np.ndarray, value: np.ndarray, end: float) -> float:
+        # The end is a value as it stands, not a sum that rounding may put beside it.
+        reach = abs(end - median)
+        for n, f, v in zip(near, far, value):
+            if n > reach * (1 + GAP) and n - reach > step:
                 break
-            reach = max(reach, f)
-        return reach
+            if f > reach:
+                reach, end = f, float(v)
+        return end
+
+    first, last = min(start[0], median), max(start[1], median)
+    up, down = highs > last, lows < first
+    above = walk(lows[up] - median, highs[up] - median, highs[up], last)
+    below = walk((median - highs[down])[::-1], (median - lows[down])[::-1], lows[down][::-1], first)
+    return below, above
+
 
-    below, above = max(0.0, median - start[0]), max(0.0, start[1] - median)
-    up = highs - median > above
-    above = walk(lows[up] - median, highs[up] - median, above)
-    down = median - lows > below
-    below = walk((median - highs[down])[::-1], (median - lows[down])[::-1], below)
-    return median - below, median + above
+# -- phase space ------------------------------------------------------------------------------------------
 
 
-def ellipsoid_flags(y: np.ndarray, lo: float, hi: float) -> np.ndarray:
-    """Readings outside a robust phase-space ellipsoid and outside ``lo``..``hi``, flagged iteratively."""
+@dataclass(frozen=True)
+class Fit:
+    """What is usual for a source: natural range, centre and axes of its ellipsoid, readings, natural distance from neighbours."""
+
+    lo: float
+    hi: float
+    mid: float
+    scale: float
+    slope: float
+    bend: float
+    local: float
+    n: int
+
+
+def _axis(middle: float, about: float = 0.0) -> float:
+    return max(1.4826 * middle, 1e-12 * (1 + abs(about)))
+
+
+def local_median(y: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Median of each reading (of those ``at``) and ``AROUND`` readings on each side, mirrored at the ends."""
+    if len(y) <= AROUND:
+        return y if at is None else y[at]
+    windows = np.lib.stride_tricks.sliding_window_view(np.pad(y, AROUND, mode="reflect"), 2 * AROUND + 1)
+    if at is not None:
+        return np.partition(windows[at], AROUND, axis=1)[:, AROUND]
+    out = np.empty(len(y))
+    for i in range(0, len(y), 65_536):
+        out[i : i + 65_536] = np.partition(windows[i : i + 65_536], AROUND, axis=1)[:, AROUND]
+    return out
+
+
+def behaviour(y: np.ndarray, ours: slice = slice(None)) -> list[Histogram]:
+    """Of the readings ``ours`` histograms of slope, bend and distance from neighbours, and the greatest shift.
+
+    A shift is the difference of the local medians before and after a reading: what changes and stays.
+    """
+    if len(y) < 2:
+        return [Histogram.of(np.empty(0))] * len(_AXES)
+    slope, middle = np.gradient(y), local_median(y)
+    shift = np.zeros(len(y))
+    shift[AROUND + 1 : -AROUND - 1] = np.abs(middle[2 * AROUND + 2 :] - middle[: -2 * AROUND - 2])
+    return [*(Histogram.of(np.abs(a[ours])) for a in (slope, np.gradient(slope), y - middle)), Histogram.of(shift[ours].max(initial=0.0, keepdims=True))]
+
+
+def fitted(lo: float, hi: float, mid: float, scale: float, n: int, h: list[Histogram]) -> Fit:
+    """The fit of a source from its natural range, centre, axis, number of readings and :func:`behaviour`."""
+    slope, bend, off, shift = h
+    usual, local = off.quantile(0.95), float("inf")
+    if n >= LOCAL_LEAST and usual > 0:
+        # Short visits to a level that the source also stays at are no spikes.
+        local = (1 + GAP) * max(off.natural(usual, LOCAL_GAP), float(shift.most.max(initial=0.0)))
+    return Fit(lo, hi, mid, scale, _axis(slope.quantile(0.5), mid), _axis(bend.quantile(0.5), mid), local, n)
+
+
+def phase_flags(y: np.ndarray, fit: Fit, ellipsoid: bool = True) -> np.ndarray:
+    """Readings outside the ellipsoid and beyond what is natural, flagged until no more are found.
+
+    ``ellipsoid=False`` leaves the natural ranges alone to decide, for comparison.
+    """
     n = len(y)
     flags = np.zeros(n, bool)
     if n < 2:
-        return (y < lo) | (y > hi)
-    limit = np.sqrt(2 * np.log(n))
-    beyond = (y < lo) | (y > hi)
-    good = y.copy()
-    for _ in range(12):
-        if not (beyond & ~flags).any():
-            break
-        axes = [good - np.median(good), np.gradient(good), np.gradient(np.gradient(good))]
-        fit = []
-        for a in axes:
-            mid = np.median(a)
-            fit.append((mid, max(1.4826 * np.median(np.abs(a - mid)), 1e-12 * (1 + np.abs(mid)))))
-        scaled = [(a - m) / (s * limit) for a, (m, s) in zip(axes, fit)]
-        outside = np.zeros(n, bool)
-        for i, j in ((0, 1), (1, 2), (0, 2)):
-            outside |= scaled[i] ** 2 + scaled[j] ** 2 > 1
-        new = outside & beyond & ~flags
+        return (y < fit.lo) | (y > fit.hi)
+    limit = np.sqrt(2 * np.log(max(fit.n, 2)))
+    good, off = y.copy(), y - local_median(y) if np.isfinite(fit.local) else np.zeros(n)
+    while True:
+        slope = np.gradient(good)
+        u, a, b = (good - fit.mid) / (fit.scale * limit), slope / (fit.slope * limit), np.gradient(slope) / (fit.bend * limit)
+        u, a, b = u * u, a * a, b * b
+        outside = (u + a > 1) | (a + b > 1) | (u + b > 1) if ellipsoid else np.ones(n, bool)
+        new = outside & ((good < fit.lo) | (good > fit.hi) | (np.abs(off) > fit.local)) & ~flags
         if not new.any():
-            break
+            return flags
         flags |= new
-        # Flagged readings give way to the last one that is not flagged, or the first such.
-        at = np.where(~flags, np.arange(n), -1)
-        at = np.maximum.accumulate(at)
         keep = np.flatnonzero(~flags)
         if not len(keep):
-            break
-        good = y[np.where(at < 0, keep[0], at)]
-    return flags
+            return flags
+        # Flagged readings give way to the last one that is not flagged, or the first such.
+        at = np.maximum.accumulate(np.where(~flags, np.arange(n), -1))
+        before, good = good, y[np.where(at < 0, keep[0], at)]
+        if np.isfinite(fit.local):
+            changed = np.flatnonzero(before != good)
+            near = np.unique(np.clip((changed[:, None] + np.arange(-AROUND, AROUND + 1)).ravel(), 0, n - 1))
+            off[near] = good[near] - local_median(good, near)
 
 
 def _run_lengths(same_as_before: np.ndarray) -> np.ndarray:
@@ -96,6 +215,18 @@ def _run_lengths(same_as_before: np.ndarray) -> np.ndarray:
     return np.bincount(run)[run]
 
 
+def spikes(y: np.ndarray, fit: Fit, ellipsoid: bool = True) -> np.ndarray:
+    """Mask of spikes among the possible readings ``y`` of one source in time order."""
+    if not len(y):
+        return np.zeros(0, bool)
+    flags = phase_flags(y, fit, ellipsoid)
+    out = (y < fit.lo) | (y > fit.hi) | flags
+    return flags & (_run_lengths(np.concatenate(([False], out[1:] == out[:-1]))) <= SPIKE_RUN)
+
+
+# -- stuck runs -------------------------------------------------------------------------------------------
+
+
 def least_run(n: int, short: int, again: int) -> float:
     """Least length of a stuck run in a source of ``n`` readings, ``short`` of them in runs below ``STUCK_RUN`` and
     ``again`` of these equal to the one before; infinite where the source is constant by nature."""
@@ -111,48 +242,34 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return same, _run_lengths(same)
 
 
-def spikes(x: np.ndarray, impossible: np.ndarray, lo: float, hi: float) -> np.ndarray:
-    """Mask of spikes among the readings ``x`` of one source in time order."""
-    spike = np.zeros(len(x), bool)
-    good = np.flatnonzero(~impossible)
-    y = x[good]
-    if len(y):
-        flags = ellipsoid_flags(y, lo, hi)
-        out = (y < lo) | (y > hi)
-        brief = _run_lengths(np.concatenate(([False], (out[1:] == out[:-1])))) <= SPIKE_RUN
-        spike[good[flags & brief]] = True
-    return spike
-
-
-def judge(x: np.ndarray, impossible: np.ndarray, lo: float, hi: float) -> tuple[np.ndarray, np.ndarray]:
+def judge(x: np.ndarray, impossible: np.ndarray, lo: float, hi: float, mid: float | None = None, scale: float | None = None, ellipsoid: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Masks of spikes and of stuck readings among all the readings ``x`` of one source in time order."""
     if not len(x):
         return np.zeros(0, bool), np.zeros(0, bool)
     same, length = _runs(x)
     short = length < STUCK_RUN
-    spike = spikes(x, impossible, lo, hi)
+    spike = np.zeros(len(x), bool)
+    y = x[~impossible]
+    if len(y):
+        mid = float(np.median(y)) if mid is None else mid
+        scale = _axis(float(np.median(np.abs(y - mid))), mid) if scale is None else scale
+        spike[~impossible] = spikes(y, fitted(lo, hi, mid, scale, len(y), behaviour(y)), ellipsoid)
     return spike, (length >= least_run(len(x), short.sum(), (same & short).sum())) & ~spike
 
 
-_ROW = T.StructType(
-    [
-        T.StructField("_key", T.StringType()),
-        T.StructField("_ts", T.LongType()),
-        T.StructField("_v", T.DoubleType()),
-        T.StructField("_bad", T.BooleanType()),
-        T.StructField("_lo", T.DoubleType()),
-        T.StructField("_hi", T.DoubleType()),
-        T.StructField("_cut", T.LongType()),
-        T.StructField("reason", T.StringType()),
-        # The run a reading is in, as its tile sees it; at an edge it may go on in the tile before (1), after (2) or both.
-        T.StructField("_tile", T.LongType()),
-        T.StructField("_run", T.LongType()),
-        T.StructField("_edge", T.LongType()),
-        # Of rows that stand for a tile: counts of its readings and of its inner runs, values and lengths of the outer ones.
-        *[T.StructField(c, T.LongType()) for c in ("_n", "_short", "_again", "_head", "_tail")],
-        *[T.StructField(c, T.DoubleType()) for c in ("_first", "_last")],
-    ]
+# -- tiles ------------------------------------------------------------------------------------------------
+
+_HISTS = [f"_{a}_{c}" for a in _AXES for c in ("bins", "count", "least", "most")]
+_SOURCE = ["_lo", "_hi", "_mid", "_scale", "_usual"]
+#: A found reading, or (``reason`` 'tile') what a tile of a cut source adds to it.
+_FIRST = (
+    "_key string, _ts long, _v double, reason string, _tile long, _cuts long, _n long, _short long, _again long, _head long, _tail long, _first double, _last double, "
+    + "".join(f"{c} double, " for c in _SOURCE)
+    + "_begin array<double>, _end array<double>, "
+    + ", ".join(f"{c} array<{'long' if c.endswith(('bins', 'count')) else 'double'}>" for c in _HISTS)
 )
+_FIRST_COLUMNS = [c.split()[0] for c in _FIRST.split(", ")]
+_HEADER = "_key string, _tile long, _cuts long, _before array<double>, _after array<double>, _fit array<double>, _starts_with long, _ends_with long, _least double"
 
 
 def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
@@ -184,99 +301,175 @@ def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataF
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
-def _rows(g: pd.DataFrame, mask: np.ndarray, reason: str | None, cut: int, **tile: float) -> pd.DataFrame:
-    out = g.loc[mask, ["_key", "_ts", "_v", "_bad", "_lo", "_hi", "_tile", "_run", "_edge"]].copy()
-    out["_cut"], out["reason"] = cut, reason
-    for c in ("_n", "_short", "_again", "_head", "_tail"):
-        out[c] = int(tile.get(c, 0))
-    for c in ("_first", "_last"):
-        out[c] = float(tile.get(c, 0))
-    return out
+def _found(key: object, ts: np.ndarray, v: np.ndarray, spike: np.ndarray, stuck: np.ndarray) -> pd.DataFrame:
+    mask = spike | stuck
+    return pd.DataFrame({"_key": pd.Series([key] * int(mask.sum()), dtype=object), "_ts": ts[mask], "_v": v[mask], "reason": np.where(spike[mask], "spike", "stuck")})
 
 
-def _tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole sources judged; of cut ones what each tile adds."""
     out, size = [], 0
+
+    def emit() -> pd.DataFrame:
+        df = pd.concat(out, ignore_index=True).reindex(columns=_FIRST_COLUMNS)
+        for c in ("_begin", "_end", *_HISTS):
+            df[c] = df[c].astype(object).where(df[c].notna(), None)
+        return df
+
     for g in _groups(batches, ["_key", "_tile"]):
-        g = g.reset_index(drop=True)
-        n, tile, last = len(g), int(g["_tile"].iloc[0]), int(g["_cuts"].iloc[0])
-        x, bad, lo, hi = g["_v"].to_numpy(), g["_bad"].to_numpy(), g["_lo"].iloc[0], g["_hi"].iloc[0]
-        g["_run"] = g["_edge"] = 0
-        before = len(out)
-        if not last:
-            spike, stuck = judge(x, bad, lo, hi)
-            out += [_rows(g, spike, "spike", -1), _rows(g, stuck & ~bad, "stuck", -1)]
+        x, bad, ts, key = g["_v"].to_numpy(), g["_bad"].to_numpy(), g["_ts"].to_numpy(), g["_key"].iloc[0]
+        tile, cuts = int(g["_tile"].iloc[0]), int(g["_cuts"].iloc[0])
+        lo, hi, mid, scale, usual = (float(g[c].iloc[0]) for c in _SOURCE)
+        if not cuts:
+            spike, stuck = judge(x, bad, lo, hi, mid, scale)
+            out.append(_found(key, ts, x, spike, stuck & ~bad))
         else:
-            spike = spikes(x, bad, lo, hi)
+            y = x[~bad]
             same, length = _runs(x)
-            at = np.arange(n)
-            edge = np.where((tile > 0) & (at < length[0]), 1, 0) + np.where((tile < last) & (at >= n - length[-1]), 2, 0)
-            g["_run"], g["_edge"] = length, edge
-            short = (length < STUCK_RUN) & (edge == 0)
-            out.append(_rows(g, at == 0, "tile", -1, _n=n, _short=short.sum(), _again=(same & short).sum(), _head=length[0], _tail=length[-1], _first=x[0], _last=x[-1]))
-            ours = np.ones(n, bool)
-            if tile > 0:  # a cut before this tile
-                ours &= at >= EDGE
-                out.append(_rows(g, at < 2 * EDGE, None, tile - 1))
-            if tile < last:
-                ours &= at < n - EDGE
-                out.append(_rows(g, at >= n - 2 * EDGE, None, tile))
-            long = (length >= STUCK_RUN) | (edge > 0)
-            out += [_rows(g, spike & ours, "spike", -1), _rows(g, long & ours & ~spike & ~bad, "run", -1)]
-        size += sum(map(len, out[before:]))
+            at = np.arange(len(x))
+            edge = ((tile > 0) & (at < length[0])) | ((tile < cuts) & (at >= len(x) - length[-1]))
+            short = (length < STUCK_RUN) & ~edge
+            # What depends on readings beyond a cut is counted there, see _sources.
+            h = behaviour(y, slice(MARGIN if tile else 0, max(0, len(y) - MARGIN) if tile < cuts else None))
+            row = {"_key": key, "reason": "tile", "_tile": tile, "_cuts": cuts, "_n": len(x), "_short": int(short.sum()), "_again": int((same & short).sum()), "_head": int(length[0]), "_tail": int(length[-1]), "_first": x[0], "_last": x[-1]}
+            row |= dict(zip(_SOURCE, (lo, hi, mid, scale, usual))) | {"_begin": y[:HALO], "_end": y[-HALO:]}
+            row |= dict(zip(_HISTS, (v for a in h for v in (a.bins, a.count, a.least, a.most))))
+            out.append(pd.DataFrame([row]))
+        size += len(out[-1])
         if size > 20_000 or len(out) > 400:
-            yield pd.concat(out, ignore_index=True)
+            yield emit()
             out, size = [], 0
     if out:
-        yield pd.concat(out, ignore_index=True)
-
-
-def _whole_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each tile the true lengths of the runs at its cuts, and the least stuck run of its source."""
-    for g in _groups(batches, ["_key"]):
-        n, head, tail, first, last = (g[c].to_numpy() for c in ("_n", "_head", "_tail", "_first", "_last"))
-        runs, ends = [], []
-        for i in range(len(g)):
-            starts = ends_in = -1
-            if i > 0:
-                if first[i] == last[i - 1]:
-                    starts = ends[-1][1]
-                else:
-                    starts = len(runs)
-                    runs.append(0)
-                runs[starts] += int(head[i])
-            if i < len(g) - 1:
-                if i > 0 and head[i] == n[i]:
-                    ends_in = starts
-                else:
-                    ends_in = len(runs)
-                    runs.append(int(tail[i]))
-            ends.append((starts, ends_in))
+        yield emit()
+
+
+def _true_runs(n: list[int], head: list[int], tail: list[int], first: list[float], last: list[float]) -> tuple[list[int], list[tuple[int, int]]]:
+    """Lengths of the runs that touch cuts, and of each tile which of them it begins and ends with (-1: none)."""
+    runs, ends = [], []
+    for i in range(len(n)):
+        starts = ends_in = -1
+        if i > 0:
+            if first[i] == last[i - 1]:
+                starts = ends[-1][1]
+            else:
+                starts = len(runs)
+                runs.append(0)
+            runs[starts] += head[i]
+        if i < len(n) - 1:
+            if i > 0 and head[i] == n[i]:
+                ends_in = starts
+            else:
+                ends_in = len(runs)
+                runs.append(tail[i])
+        ends.append((starts, ends_in))
+    return runs, ends
+
+
+def _sources(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of every tile of a cut source what judges it: the fit of the source, its neighbours, the true runs at its cuts."""
+    tiles: list[dict] = []
+    hists: list[Histogram] | None = None
+
+    def take(r: dict) -> None:
+        nonlocal hists
+        own = [Histogram(*(np.asarray(r.pop(f"_{a}_{c}")) for c in ("bins", "count", "least", "most"))) for a in _AXES]
+        r["_begin"], r["_end"] = np.asarray(r["_begin"], float), np.asarray(r["_end"], float)
+        parts = [own] if hists is None else [hists, own]
+        if tiles:
+            left, right = tiles[-1]["_end"][-2 * MARGIN :], r["_begin"][: 2 * MARGIN]
+            parts.append(behaviour(np.concatenate([left, right]), slice(max(0, len(left) - MARGIN), len(left) + min(MARGIN, len(right)))))
+        hists = [Histogram.together(list(p)) for p in zip(*parts)]
+        tiles.append(r)
+
+    def finish() -> pd.DataFrame:
+        get = lambda c: [r[c] for r in tiles]
+        runs, ends = _true_runs(get("_n"), get("_head"), get("_tail"), get("_first"), get("_last"))
         short = [r for r in runs if r < STUCK_RUN]
-        least = least_run(int(n.sum()), int(g["_short"].sum()) + sum(short), int(g["_again"].sum()) + sum(short) - len(short))
-        pick = lambda k: [runs[e[k]] if e[k] >= 0 else 0 for e in ends]
-        yield pd.DataFrame({"_key": g["_key"].to_numpy(), "_tile": g["_tile"].to_numpy(), "_starts_with": pick(0), "_ends_with": pick(1), "_least": float(least)})
+        least = float(least_run(sum(get("_n")), sum(get("_short")) + sum(short), sum(get("_again")) + sum(short) - len(short)))
+        f = fitted(*(float(tiles[0][c]) for c in _SOURCE[:4]), int(tiles[0]["_usual"]), hists)
+        fit = [f.lo, f.hi, f.mid, f.scale, f.slope, f.bend, f.local, float(f.n)]
+        rows = []
+        for i, (r, (a, b)) in enumerate(zip(tiles, ends)):
+            before, after = tiles[i - 1]["_end"] if i else np.empty(0), tiles[i + 1]["_begin"] if i + 1 < len(tiles) else np.empty(0)
+            rows.append((r["_key"], r["_tile"], r["_cuts"], before, after, fit, runs[a] if a >= 0 else 0, runs[b] if b >= 0 else 0, least))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in _HEADER.split(", ")])
+
+    for pdf in batches:
+        for r in pdf.to_dict("records"):
+            if tiles and (r["_key"] != tiles[0]["_key"]):
+                yield finish()
+                tiles, hists = [], None
+            take(r)
+    if tiles:
+        yield finish()
 
 
-def _seams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for g in _groups(batches, ["_key", "_cut"]):
-        g = g.reset_index(drop=True)
-        before = int(g["_before"].sum())
-        bad = g["_bad"].to_numpy()
-        spike = spikes(g["_v"].to_numpy(), bad, g["_lo"].iloc[0], g["_hi"].iloc[0])
-        stuck = g["_stuck"].to_numpy() & ~spike & ~bad
-        at = np.arange(len(g))
-        ours = (at >= before - EDGE) & (at < before + EDGE)
-        yield pd.concat([g.loc[mask & ours, ["_key", "_ts", "_v"]].assign(reason=reason) for mask, reason in ((spike, "spike"), (stuck, "stuck"))], ignore_index=True)
+def _second_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The tiles of cut sources judged, each led by its header."""
+    for g in _groups(batches, ["_key", "_tile"]):
+        top, g = g.iloc[0], g.iloc[1:]
+        x, bad, ts = g["_v"].to_numpy(), g["_bad"].to_numpy(bool), g["_ts"].to_numpy(np.int64)
+        fit = Fit(*(float(v) for v in top["_fit"][:7]), int(top["_fit"][7]))
+        before, after = (np.asarray(top[c], float) for c in ("_before", "_after"))
+        spike = np.zeros(len(x), bool)
+        y = x[~bad]
+        spike[~bad] = spikes(np.concatenate([before, y, after]), fit)[len(before) : len(before) + len(y)]
+        _, length = _runs(x)
+        at, n, tile = np.arange(len(x)), len(x), int(top["_tile"])
+        head, tail = length[0], length[-1]
+        if tile < int(top["_cuts"]):
+            length[at >= n - tail] = int(top["_ends_with"])
+        if tile > 0:
+            length[at < head] = int(top["_starts_with"])
+        yield _found(top["_key"], ts, x, spike, (length >= float(top["_least"])) & ~spike & ~bad)
 
 
 def _ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    keys, lows, highs = [], [], []
+    """Natural range, centre, axis and number of the possible readings of each source."""
+    rows = []
     for g in _groups(batches, ["_key"]):
         q = g["_q"].iloc[0]
         start = (q[1], q[3]) if q[1] < q[3] else (q[0], q[4])
-        lo, hi = natural_range(q[2], start, g["_least"].to_numpy(), g["_most"].to_numpy())
-        keys.append(g["_key"].iloc[0]), lows.append(lo), highs.append(hi)
-    yield pd.DataFrame({"_key": pd.Series(keys, dtype=object), "_lo": np.asarray(lows, float), "_hi": np.asarray(highs, float)})
+        low, high, n = g["_least"].to_numpy(), g["_most"].to_numpy(), g["_n"].to_numpy()
+        lo, hi = natural_range(q[2], start, low, high)
+        far = np.abs(low / 2 + high / 2 - q[2])
+        order = np.argsort(far, kind="stable")
+        middle = far[order][np.searchsorted(np.cumsum(n[order]), n.sum() / 2)]
+        rows.append((g["_key"].iloc[0], lo, hi, q[2], _axis(middle, q[2]), n.sum()))
+    yield pd.DataFrame(rows, columns=["_key", *_SOURCE]).astype({c: "float64" for c in _SOURCE})
+
+
+def _tiles(rows: DataFrame, tile_rows: int) -> DataFrame:
+    """``rows`` with ``_tile`` and the number of cuts of their source, ``_cuts``."""
+    floor = lambda ms: F.expr(f"_ts - pmod(_ts, {ms}L)")
+    count = F.count(F.lit(1)).alias("_n")
+    hourly = materialize(rows.groupBy("_key", floor(_HOUR).alias("_at")).agg(count), "plausible-hours")
+    big = hourly.groupBy("_key").agg(F.sum("_n").alias("_all")).where(F.col("_all") > tile_rows).select("_key")
+    big = materialize(big, "plausible-big")
+    if big.limit(1).count() == 0:
+        return rows.withColumn("_tile", F.lit(0).cast("long")).withColumn("_cuts", F.lit(0).cast("long"))
+    hours = lookup_join(hourly, big, ["_key"])
+    dense = materialize(hours.where(F.col("_n") > tile_rows).select("_key", F.col("_at").alias("_hour"), F.lit(True).alias("_dense")), "plausible-dense")
+    rows = rows.withColumn("_hour", floor(_HOUR))
+    if dense.limit(1).count():
+        rows = lookup_join(rows, dense, ["_key", "_hour"], "left")
+        rows = rows.withColumn("_at", F.when(F.col("_dense"), floor(_SECOND)).otherwise(F.col("_hour"))).drop("_dense")
+        hours = hours.where(F.col("_n") <= tile_rows).unionByName(lookup_join(rows, dense.drop("_dense"), ["_key", "_hour"]).groupBy("_key", "_at").agg(count))
+    else:
+        rows = rows.withColumnRenamed("_hour", "_at")
+    w = Window.partitionBy("_key").orderBy("_at")
+    before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hours = hours.withColumn("_piece", F.floor(before / tile_rows))
+    # A piece smaller than the halo joins its neighbour: its start is no cut.
+    w = Window.partitionBy("_key").orderBy("_piece")
+    pieces = hours.groupBy("_key", "_piece").agg(F.sum("_n").alias("_n"))
+    pieces = pieces.withColumn("_i", F.row_number().over(w)).withColumn("_prior", F.lag("_n").over(w))
+    cut = (F.col("_i") > 1) & (F.col("_n") >= HALO) & ~((F.col("_i") == 2) & (F.col("_prior") < HALO))
+    pieces = pieces.withColumn("_tile", F.sum(cut.cast("long")).over(w)).withColumn("_cuts", F.max("_tile").over(Window.partitionBy("_key")))
+    # One row per hour (second) of the cut sources; none has more than about a tile's readings, so no key of the join is hot.
+    where = materialize(hours.join(pieces.select("_key", "_piece", "_tile", "_cuts"), ["_key", "_piece"]).select("_key", "_at", "_tile", "_cuts"), "plausible-tiles")
+    rows = lookup_join(rows, where, ["_key", "_at"], "left")
+    return rows.withColumn("_tile", F.coalesce("_tile", F.lit(0).cast("long"))).withColumn("_cuts", F.coalesce("_cuts", F.lit(0).cast("long")))
 
 
 def implausible(readings: DataFrame, entity: str, ts: str, value: str, low: str | None = None, high: str | None = None, tile_rows: int = 100_000) -> DataFrame:
@@ -286,8 +479,9 @@ def implausible(readings: DataFrame, entity: str, ts: str, value: str, low: str
     are to be unique by (entity, ts), as :func:`~tidegrid.operators.common.current_rows` makes them.
 
     Defined cases: rows with a null time or a null or NaN value are no readings; an infinite value is impossible;
-    a null entity is a source of its own; of readings repeated at one time each is judged; sources of a single
-    value have no spikes unless other values are there; an empty table gives no rows; other columns are ignored.
+    a null entity is a source of its own; of readings repeated at one time each is judged, and they stay in one
+    tile; sources of a single value have no spikes unless other values are there; an empty table gives no rows;
+    other columns are ignored.
     """
     kind = readings.schema[entity].dataType
     v = F.col(f"`{value}`").cast("double")
@@ -304,34 +498,24 @@ def implausible(readings: DataFrame, entity: str, ts: str, value: str, low: str
     off = (F.col("_v") - F.col("_q")[2]) / width
     # Some 30 bins for each doubling of the distance from the median; the extremes keep gaps exact.
     step = (F.signum(off) * F.floor(F.log1p(F.least(F.abs(off), F.lit(1e300)) * 8) * 40)).cast("int")
-    bins = lookup_join(usual, middle, ["_key"]).groupBy("_key", step.alias("_bin")).agg(F.min("_v").alias("_least"), F.max("_v").alias("_most"))
-    bins = bins.join(middle, "_key").repartition("_key").sortWithinPartitions("_key", "_least")
-    ranges = bins.mapInPandas(_ranges, "_key string, _lo double, _hi double")
-
-    hourly = rows.groupBy("_key", F.expr(f"_ts - pmod(_ts, {_HOUR}L)").alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("_key").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1))
-    pieces = hourly.withColumn("_piece", F.floor(F.coalesce(before, F.lit(0)) / tile_rows)).groupBy("_key", "_piece").agg(F.min("_hour").alias("_at"), F.sum("_n").alias("_n"))
-    # A piece too small for the rows around its cuts joins its neighbour: its start is no cut.
-    w = Window.partitionBy("_key").orderBy("_piece")
-    pieces = pieces.select("_key", "_at", "_n", F.row_number().over(w).alias("_i"), F.lag("_n").over(w).alias("_prior"))
-    cuts = pieces.where((F.col("_i") == 1) | ((F.col("_n") >= 2 * EDGE) & ~((F.col("_i") == 2) & (F.col("_prior") < 2 * EDGE))))
-    cuts = cuts.groupBy("_key").agg(F.array_sort(F.collect_list("_at")).alias("_starts"))
-    usage = materialize(cuts.join(ranges, "_key", "left"), "plausible-usage")
-
-    tiled = lookup_join(rows, usage, ["_key"])
-    begun = F.size(F.filter("_starts", lambda s: s <= F.col("_ts")))
-    tiled = tiled.select("_key", "_ts", "_v", "_bad", F.coalesce("_lo", F.lit(float("-inf"))).alias("_lo"), F.coalesce("_hi", F.lit(float("inf"))).alias("_hi"), (F.greatest(begun, F.lit(1)) - 1).cast("long").alias("_tile"), (F.size("_starts") - 1).cast("long").alias("_cuts"))
-    judged = materialize(tiled.repartition("_key", "_tile").sortWithinPartitions("_key", "_tile", "_ts").mapInPandas(_tiles, _ROW), "plausible-judged")
-    whole = judged.where(F.col("reason") == "tile").select("_key", "_tile", "_n", "_short", "_again", "_head", "_tail", "_first", "_last")
-    whole = whole.repartition("_key").sortWithinPartitions("_key", "_tile").mapInPandas(_whole_runs, "_key string, _tile long, _starts_with long, _ends_with long, _least double")
-    true_run = F.when(F.col("_edge").bitwiseAND(1) > 0, F.col("_starts_with")).when(F.col("_edge") > 0, F.col("_ends_with")).otherwise(F.col("_run"))
-    open_rows = lookup_join(judged.where((F.col("_cut") >= 0) | (F.col("reason") == "run")), materialize(whole, "plausible-runs"), ["_key", "_tile"]).withColumn("_stuck", true_run >= F.col("_least"))
-    stuck = open_rows.where((F.col("_cut") < 0) & F.col("_stuck")).select("_key", "_ts", "_v", F.lit("stuck").alias("reason"))
-    seams = open_rows.where(F.col("_cut") >= 0).select("_key", "_ts", "_v", "_bad", "_lo", "_hi", "_cut", "_stuck")
-    # Each side's readings come from its own tile: those before the cut are the ones earlier than the tile's start.
-    seams = lookup_join(seams, usage.select("_key", "_starts"), ["_key"]).withColumn("_before", F.col("_ts") < F.get("_starts", F.col("_cut").cast("int") + 1)).drop("_starts")
-    seams = seams.repartition("_key", "_cut").sortWithinPartitions("_key", "_cut", "_ts").mapInPandas(_seams, "_key string, _ts long, _v double, reason string")
-    found = judged.where(F.col("reason").isin("spike", "stuck")).select("_key", "_ts", "_v", "reason").unionByName(stuck).unionByName(seams)
+    bins = lookup_join(usual, middle, ["_key"]).groupBy("_key", step.alias("_bin")).agg(F.min("_v").alias("_least"), F.max("_v").alias("_most"), F.count(F.lit(1)).alias("_n"))
+    bins = lookup_join(bins, middle, ["_key"]).repartition("_key").sortWithinPartitions("_key", "_least")
+    sources = materialize(bins.mapInPandas(_ranges, "_key string, " + ", ".join(f"{c} double" for c in _SOURCE)), "plausible-sources")
+
+    tiled = _tiles(rows, tile_rows)
+    # A source without any possible reading has no range and needs none.
+    judged = lookup_join(tiled, sources, ["_key"], "left").select("_key", "_tile", "_cuts", "_ts", "_v", "_bad", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in _SOURCE])
+    judged = judged.repartition("_key", "_tile").sortWithinPartitions("_key", "_tile", "_ts").mapInPandas(_first_pass, _FIRST)
+    judged = materialize(judged, "plausible-judged")
+    found = judged.where(F.col("reason") != "tile").select("_key", "_ts", "_v", "reason")
+
+    parts = judged.where(F.col("reason") == "tile").drop("_ts", "_v", "reason").repartition("_key").sortWithinPartitions("_key", "_tile")
+    headers = materialize(parts.mapInPandas(_sources, _HEADER), "plausible-headers")
+    if headers.limit(1).count():
+        flat = tiled.where(F.col("_cuts") > 0).select("_key", "_tile", "_ts", "_v", "_bad")
+        both = headers.unionByName(flat, allowMissingColumns=True)
+        both = both.repartition("_key", "_tile").sortWithinPartitions("_key", "_tile", F.col("_fit").isNull(), "_ts")
+        found = found.unionByName(both.mapInPandas(_second_pass, "_key string, _ts long, _v double, reason string"))
     found = found.unionByName(rows.where("_bad").select("_key", "_ts", "_v", F.lit("impossible").alias("reason")))
     name = F.when(F.col("_key") != "-", F.substring("_key", 2, 1 << 30)).cast(kind)
     return found.select(name.alias(entity), F.col("_ts").alias(ts), F.col("_v").alias(value), "reason")

@@ -69,6 +69,20 @@ P4_DELIVERED = f"""WITH {_WAL} SELECT record_id, producer, m AS message FROM k W
 
 P5_FOUND = f"SELECT DISTINCT {_HASH} AS series_hash, {_RES} AS resolution, ts FROM rollup_points"
 
+_JUDGED = """j AS (SELECT series_ref, ts, value, isinf(value) OR CASE metric WHEN 'cpu_busy_percent' THEN value < 0 OR value > 100 WHEN 'humidity_percent' THEN value < 0 OR value > 100
+  WHEN 'error_ratio' THEN value < 0 OR value > 1 WHEN 'temperature_celsius' THEN value < -273.15 ELSE value < 0 END AS bad
+  FROM (SELECT *, row_number() OVER (PARTITION BY series_ref, ts ORDER BY seq DESC) AS rn FROM samples) WHERE rn = 1 AND value IS NOT NULL AND NOT isnan(value))"""
+
+P6_IMPOSSIBLE = f"WITH {_JUDGED} SELECT series_ref, ts FROM j WHERE bad"
+
+P6_STUCK = f"""WITH {_JUDGED},
+a AS (SELECT *, lag(value) OVER (PARTITION BY series_ref ORDER BY ts) AS before, row_number() OVER (PARTITION BY series_ref ORDER BY ts) AS i FROM j),
+b AS (SELECT *, sum(CASE WHEN i > 1 AND value = before THEN 0 ELSE 1 END) OVER (PARTITION BY series_ref ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM a),
+c AS (SELECT *, count(*) OVER (PARTITION BY series_ref, run) AS length FROM b),
+s AS (SELECT series_ref, count(*) AS n, count(*) FILTER (WHERE length < 12) AS short, count(*) FILTER (WHERE length < 12 AND i > 1 AND value = before) AS again FROM c GROUP BY 1),
+l AS (SELECT series_ref, CASE WHEN short < 0.25 * n THEN NULL WHEN again = 0 THEN 12 ELSE greatest(12, 1 + ln(0.01 / n) / ln(least(again / short, 0.999))) END AS least FROM s)
+SELECT series_ref, ts FROM c JOIN l USING (series_ref) WHERE length >= least AND NOT bad"""
+
 P7 = f"""WITH v AS (SELECT metric, labels['region'] AS region, value FROM (SELECT *, row_number() OVER (PARTITION BY series_ref, ts ORDER BY seq DESC) AS rn FROM samples) WHERE rn = 1 AND value IS NOT NULL AND isfinite(value)),
 s AS (SELECT metric, 'metric' AS scope, CAST(NULL AS VARCHAR) AS region, value FROM v UNION ALL SELECT metric, 'region', region, value FROM v WHERE region IS NOT NULL),
 r AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY metric, scope, region) AS n FROM s WINDOW w AS (PARTITION BY metric, scope, region ORDER BY value)),
@@ -77,4 +91,4 @@ SELECT metric, scope, region, p, max(CASE WHEN i = floor(p * (n - 1)) THEN value
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_grid": P1_GRID, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_totals": P3_TOTALS, "p4_found": P4_FOUND, "p4_messages": P4_MESSAGES, "p4_delivered": P4_DELIVERED, "p5_found": P5_FOUND, "p7_percentiles": P7}
+    return {"p1_found": P1_FOUND, "p1_grid": P1_GRID, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_totals": P3_TOTALS, "p4_found": P4_FOUND, "p4_messages": P4_MESSAGES, "p4_delivered": P4_DELIVERED, "p5_found": P5_FOUND, "p6_impossible": P6_IMPOSSIBLE, "p6_stuck": P6_STUCK, "p7_percentiles": P7}

@@ -130,6 +130,16 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_readings(spark, sf).select("series_ref", "ts")
 
 
+def p6_impossible(spark: SparkSession, sf: str) -> DataFrame:
+    """The current samples that cannot be."""
+    return p6_readings(spark, sf).where(F.col("reason") == "impossible").select("series_ref", "ts")
+
+
+def p6_stuck(spark: SparkSession, sf: str) -> DataFrame:
+    """The current samples of stuck stretches."""
+    return p6_readings(spark, sf).where(F.col("reason") == "stuck").select("series_ref", "ts")
+
+
 def _metric_values(spark: SparkSession, sf: str) -> DataFrame:
     s = _table(spark, sf, "samples").select("series_ref", "metric", F.col("labels")["region"].alias("region"), "ts", "value", "seq")
     return current_rows(s, ["series_ref", "metric", "region"]).where(is_finite(F.col("value"))).select("metric", "region", "ts", "value")
@@ -158,4 +168,4 @@ def p7_merged_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_grid": p1_grid, "p2_found": p2_found, "p3_found": p3_found, "p3_totals": p3_totals, "p4_found": p4_found, "p4_messages": p4_messages, "p4_delivered": p4_delivered, "p5_found": p5_found, "p6_found": p6_found, "p7_percentiles": p7_percentiles, "p7_merged_days": p7_merged_days}
+    return {"p1_found": p1_found, "p1_grid": p1_grid, "p2_found": p2_found, "p3_found": p3_found, "p3_totals": p3_totals, "p4_found": p4_found, "p4_messages": p4_messages, "p4_delivered": p4_delivered, "p5_found": p5_found, "p6_found": p6_found, "p6_impossible": p6_impossible, "p6_stuck": p6_stuck, "p7_percentiles": p7_percentiles, "p7_merged_days": p7_merged_days}
