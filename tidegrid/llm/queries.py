@@ -1,4 +1,4 @@
-"""The problem queries over texts."""
+"""The problem queries of this subpackage: percentiles, and those over texts."""
 
 from __future__ import annotations
 
@@ -8,9 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegrid.functions.spelling import is_finite
 from tidegrid.llm.leakage import leaked
 from tidegrid.llm.packing import pack, token_count
+from tidegrid.llm.percentiles import histogram_percentiles, merge_histograms, radix_histogram, radix_percentiles
 from tidegrid.llm.repetition import repetition
+from tidegrid.operators.common import current_rows
+from tidegrid.session import materialize
 
 #: Folder of the public tokenizers' files; every node has it at the same place.
 TOKENIZERS = os.environ.get("TIDEGRID_TOKENIZERS", "/opt/tokenizers")
@@ -19,6 +23,48 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 CAPACITY = 2048
 
 
+#: Percentiles asked for, and the groupings they are wanted in.
+PROBS = [0.5, 0.9, 0.99]
+SCOPES = {"metric": ["metric"], "region": ["metric", "region"]}
+
+
+def _metric_values(spark: SparkSession, sf: str) -> DataFrame:
+    s = spark.read.parquet(f"{sf}/samples.parquet").select("series_ref", "metric", F.col("labels")["region"].alias("region"), "ts", "value", "seq")
+    return current_rows(s, ["series_ref", "metric", "region"]).where(is_finite(F.col("value"))).select("metric", "region", "ts", "value")
+
+
+def _of_a_region(df: DataFrame) -> DataFrame:
+    """Without the rows that stand for a metric's values of no region."""
+    return df.where((F.col("scope") == "metric") | F.col("region").isNotNull())
+
+
+def p7_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Median, 90th and 99th percentile of every metric, and of every metric and region, exactly."""
+    # The order statistics around each rank; the interpolated value is left to the reader, as its last bit depends on the formula.
+    exact = radix_percentiles(_metric_values(spark, sf), ["metric", "region"], "value", PROBS, scopes=SCOPES)
+    return _of_a_region(exact).select("metric", "scope", "region", "p", "lower", "upper", "n")
+
+
+def p7_merged_days(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from histograms made day by day and combined, within a relative error of 2**-12."""
+    v = _metric_values(spark, sf).withColumn("day", F.expr("ts div 86400000"))
+    daily = materialize(radix_histogram(v, ["metric", "region", "day"], "value"), "daily-histograms")
+    parts = []
+    for scope, by in SCOPES.items():
+        merged = histogram_percentiles(merge_histograms([daily], by), by, PROBS)
+        parts.append(merged.select("metric", F.lit(scope).alias("scope"), *(["region"] if "region" in by else [F.lit(None).cast("string").alias("region")]), "p", "value", "n"))
+    return _of_a_region(parts[0].unionByName(parts[1]))
+
+
+def p7_days_within(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each percentile combined from days lies within the stated error of the exact one."""
+    key = lambda df: df.withColumn("_r", F.coalesce(F.concat(F.lit("="), "region"), F.lit("-")))
+    merged, exact = key(p7_merged_days(spark, sf)), key(p7_percentiles(spark, sf)).select("metric", "scope", "_r", "p", "lower", "upper")
+    error = lambda c: F.abs(F.col(c)) * F.lit(2.0**-12)
+    within = (F.col("value") >= F.col("lower") - error("lower")) & (F.col("value") <= F.col("upper") + error("upper"))
+    return merged.join(exact, ["metric", "scope", "_r", "p"], "left").select("metric", "scope", "region", "p", "n", F.coalesce(within, F.lit(False)).alias("within"))
+
+
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
@@ -45,9 +91,19 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found, "p10_shares": p10_shares}
+    return {"p7_percentiles": p7_percentiles, "p7_merged_days": p7_merged_days, "p7_days_within": p7_days_within, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found, "p10_shares": p10_shares}
+
+
+_RANKED = """v AS (SELECT metric, labels['region'] AS region, value FROM (SELECT *, row_number() OVER (PARTITION BY series_ref, ts ORDER BY seq DESC) AS rn FROM samples) WHERE rn = 1 AND value IS NOT NULL AND isfinite(value)),
+s AS (SELECT metric, 'metric' AS scope, CAST(NULL AS VARCHAR) AS region, value FROM v UNION ALL SELECT metric, 'region', region, value FROM v WHERE region IS NOT NULL),
+p AS (SELECT unnest([0.5, 0.9, 0.99]::DOUBLE[]) AS p)"""
+
+P7 = f"""WITH {_RANKED}, r AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY metric, scope, region) AS n FROM s WINDOW w AS (PARTITION BY metric, scope, region ORDER BY value))
+SELECT metric, scope, region, p, max(CASE WHEN i = floor(p * (n - 1)) THEN value END) AS lower, max(CASE WHEN i = ceil(p * (n - 1)) THEN value END) AS upper, n FROM r, p GROUP BY metric, scope, region, p, n"""
+
+P7_WITHIN = f"WITH {_RANKED}, g AS (SELECT metric, scope, region, count(*) AS n FROM s GROUP BY ALL) SELECT metric, scope, region, p, n, TRUE AS within FROM g, p"
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: tokenizers, alterations and folded text are beyond SQL; the tests hold them against brute force."""
-    return {}
+    """Tokenizers, alterations and folded text are beyond SQL; the tests hold them against brute force."""
+    return {"p7_percentiles": P7, "p7_days_within": P7_WITHIN}
