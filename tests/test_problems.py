@@ -1,6 +1,5 @@
 import math
 import random
-import struct
 from datetime import date
 
 import numpy as np
@@ -9,7 +8,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidegrid.functions.floatkeys import from_key, to_key
 from tidegrid.functions.spelling import duration_ms, hex_number, resolution, series_hash
 from tidegrid.operators.common import current_rows, lookup_join
 from tidegrid.operators.compaction import Compaction
@@ -17,7 +15,6 @@ from tidegrid.operators.delivery import deduplicate, repeated_messages, sample_s
 from tidegrid.operators.grid import regular_grid
 from tidegrid.operators.intervals import IntervalMap, merge_intervals
 from tidegrid.operators.outliers import implausible, judge, natural_range
-from tidegrid.operators.percentiles import histogram_percentiles, merge_histograms, radix_histogram, radix_percentiles
 from tidegrid.operators.trailing import trailing_totals
 from tidegrid.session import shared_dir
 
@@ -39,20 +36,6 @@ def test_spellings(spark):
     assert [r[0] for r in df.select(hex_number(F.col("x"))).collect()] == ["2a", "2a", "2a", "0", None, None, None, "2a"]
 
 
-def test_float_keys(spark):
-    rng = random.Random(1)
-    xs = [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(64)))[0] for _ in range(4000)]
-    xs += [0.0, -0.0, INF, -INF, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, *[2.0**e for e in range(-1074, 1024, 7)], *[np.nextafter(2.0**e, s) for e in range(-1000, 1023, 31) for s in (0, INF)]]
-    xs = [float(x) for x in xs if not math.isnan(x)]
-    df = spark.createDataFrame([(x,) for x in xs], "x double").withColumn("k", to_key(F.col("x"))).withColumn("y", from_key(F.col("k")))
-    got = df.collect()
-    for r in got:
-        bits = struct.unpack("<q", struct.pack("<d", abs(r.x)))[0]
-        assert r.k == (-bits if r.x < 0 else bits), r
-        assert r.y == r.x
-    assert spark.createDataFrame([(NAN,), (None,)], "x double").where(to_key(F.col("x")).isNotNull()).count() == 0
-
-
 def test_lookup_join_salted_equals_broadcast(spark):
     big = spark.range(300).select((F.col("id") % 3).alias("k"), "id")
     small = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
@@ -389,32 +372,3 @@ def test_results_do_not_depend_on_tiles(spark):
     assert got[300] == got[2000] == got[100_000]
     reasons = {r: sum(x[3] == r for x in got[300]) for r in ("spike", "stuck", "impossible")}
     assert reasons["stuck"] > 4700 and reasons["spike"] == 22 and reasons["impossible"] == 4
-
-
-# -- 7: percentiles ---------------------------------------------------------------------------------------
-
-
-def test_percentiles(spark):
-    rng = np.random.default_rng(7)
-    data = {"a": rng.normal(0, 1e3, 3001), "b": np.repeat(5.0, 40), "c": np.array([-INF, 1.0, INF]), None: np.exp(rng.normal(0, 9, 500))}
-    rows = [(k, float(x)) for k, v in data.items() for x in v] + [("a", None), ("a", NAN), ("only nan", NAN)]
-    df = spark.createDataFrame([(*r, 0) for r in rows], "g string, x double, n int")
-    got = {(r.g, r.p): r for r in radix_percentiles(df, ["g"], "x", [0.0, 0.5, 0.9, 1.0]).collect()}
-    assert len(got) == 4 * 4
-    for (g, p), r in got.items():
-        v = np.sort(data[g])
-        pos = p * (len(v) - 1)
-        assert (r.n, r.lower, r.upper) == (len(v), v[math.floor(pos)], v[math.ceil(pos)])
-        if np.isfinite(v).all():
-            assert r.value == pytest.approx(np.quantile(v, p), rel=1e-12)
-    assert radix_percentiles(df.limit(0), ["g"], "x", [0.5]).count() == 0
-
-
-def test_histograms_of_parts_combine(spark):
-    rng = np.random.default_rng(8)
-    v = np.exp(rng.normal(0, 3, 4000)) * rng.choice([-1, 1], 4000)
-    df = spark.createDataFrame([("g", float(x), i % 3) for i, x in enumerate(v)], "g string, x double, day int")
-    parts = [radix_histogram(df.where(F.col("day") == d), ["g"], "x") for d in range(3)]
-    for r in histogram_percentiles(merge_histograms(parts, ["g"]), ["g"], [0.1, 0.5, 0.99]).collect():
-        exact = np.sort(v)[math.ceil(r.p * len(v)) - 1]
-        assert abs(r.value - exact) <= abs(exact) * 2.0**-12

@@ -83,12 +83,5 @@ s AS (SELECT series_ref, count(*) AS n, count(*) FILTER (WHERE length < 12) AS s
 l AS (SELECT series_ref, CASE WHEN short < 0.25 * n THEN NULL WHEN again = 0 THEN 12 ELSE greatest(12, 1 + ln(0.01 / n) / ln(least(again / short, 0.999))) END AS least FROM s)
 SELECT series_ref, ts FROM c JOIN l USING (series_ref) WHERE length >= least AND NOT bad"""
 
-P7 = f"""WITH v AS (SELECT metric, labels['region'] AS region, value FROM (SELECT *, row_number() OVER (PARTITION BY series_ref, ts ORDER BY seq DESC) AS rn FROM samples) WHERE rn = 1 AND value IS NOT NULL AND isfinite(value)),
-s AS (SELECT metric, 'metric' AS scope, CAST(NULL AS VARCHAR) AS region, value FROM v UNION ALL SELECT metric, 'region', region, value FROM v WHERE region IS NOT NULL),
-r AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY metric, scope, region) AS n FROM s WINDOW w AS (PARTITION BY metric, scope, region ORDER BY value)),
-p AS (SELECT unnest([0.5, 0.9, 0.99]::DOUBLE[]) AS p)
-SELECT metric, scope, region, p, max(CASE WHEN i = floor(p * (n - 1)) THEN value END) AS lower, max(CASE WHEN i = ceil(p * (n - 1)) THEN value END) AS upper, n FROM r, p GROUP BY metric, scope, region, p, n"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_grid": P1_GRID, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_totals": P3_TOTALS, "p4_found": P4_FOUND, "p4_messages": P4_MESSAGES, "p4_delivered": P4_DELIVERED, "p5_found": P5_FOUND, "p6_impossible": P6_IMPOSSIBLE, "p6_stuck": P6_STUCK, "p7_percentiles": P7}
+    return {"p1_found": P1_FOUND, "p1_grid": P1_GRID, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_totals": P3_TOTALS, "p4_found": P4_FOUND, "p4_messages": P4_MESSAGES, "p4_delivered": P4_DELIVERED, "p5_found": P5_FOUND, "p6_impossible": P6_IMPOSSIBLE, "p6_stuck": P6_STUCK}

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.functions.floatkeys import to_key
 from tidegrid.functions.spelling import RESOLUTION_MS, hex_number, is_finite, resolution, resolution_length, series_hash
 from tidegrid.operators.common import current_rows, lookup_join
 from tidegrid.operators.compaction import Compaction, point_records
@@ -15,12 +14,9 @@ from tidegrid.operators.delivery import deduplicate, repeated_messages, sample_s
 from tidegrid.operators.grid import regular_grid
 from tidegrid.operators.intervals import merge_intervals
 from tidegrid.operators.outliers import implausible
-from tidegrid.operators.percentiles import histogram_percentiles, merge_histograms, radix_histogram, radix_percentiles
 from tidegrid.operators.trailing import trailing_totals
 from tidegrid.session import materialize, shared_dir
 
-PROBS = [0.5, 0.9, 0.99]
-
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -140,32 +136,5 @@ def p6_stuck(spark: SparkSession, sf: str) -> DataFrame:
     return p6_readings(spark, sf).where(F.col("reason") == "stuck").select("series_ref", "ts")
 
 
-def _metric_values(spark: SparkSession, sf: str) -> DataFrame:
-    s = _table(spark, sf, "samples").select("series_ref", "metric", F.col("labels")["region"].alias("region"), "ts", "value", "seq")
-    return current_rows(s, ["series_ref", "metric", "region"]).where(is_finite(F.col("value"))).select("metric", "region", "ts", "value")
-
-
-def _scoped(values: DataFrame, *rest: str) -> DataFrame:
-    """Each row under its metric and, if it has a region, under metric and region."""
-    scopes = F.array(F.struct(F.lit("metric").alias("scope"), F.lit(None).cast("string").alias("region")), F.struct(F.lit("region").alias("scope"), F.col("region").alias("region")))
-    scopes = F.filter(scopes, lambda x: (x["scope"] == "metric") | x["region"].isNotNull())
-    return values.select("metric", *rest, F.explode(scopes).alias("s")).select("metric", F.col("s.scope").alias("scope"), F.col("s.region").alias("region"), *rest)
-
-
-def p7_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Median, 90th and 99th percentile of every metric, and of every metric and region, exactly."""
-    keys = materialize(_metric_values(spark, sf).select("metric", "region", to_key(F.col("value")).alias("key")), "metric-keys")
-    # The order statistics around each rank; the interpolated value is left to the reader, as its last bit depends on the formula.
-    return radix_percentiles(_scoped(keys, "key"), ["metric", "scope", "region"], "key", PROBS, keyed=True).drop("value")
-
-
-def p7_merged_days(spark: SparkSession, sf: str) -> DataFrame:
-    """The same from histograms made day by day and combined, within a relative error of 2**-12."""
-    v = _metric_values(spark, sf).withColumn("day", F.expr("ts div 86400000"))
-    h = radix_histogram(_scoped(v, "value", "day"), ["metric", "scope", "region", "day"], "value")
-    h = merge_histograms([h.drop("day")], ["metric", "scope", "region"])
-    return histogram_percentiles(h, ["metric", "scope", "region"], PROBS)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_grid": p1_grid, "p2_found": p2_found, "p3_found": p3_found, "p3_totals": p3_totals, "p4_found": p4_found, "p4_messages": p4_messages, "p4_delivered": p4_delivered, "p5_found": p5_found, "p6_found": p6_found, "p6_impossible": p6_impossible, "p6_stuck": p6_stuck, "p7_percentiles": p7_percentiles, "p7_merged_days": p7_merged_days}
+    return {"p1_found": p1_found, "p1_grid": p1_grid, "p2_found": p2_found, "p3_found": p3_found, "p3_totals": p3_totals, "p4_found": p4_found, "p4_messages": p4_messages, "p4_delivered": p4_delivered, "p5_found": p5_found, "p6_found": p6_found, "p6_impossible": p6_impossible, "p6_stuck": p6_stuck}
