@@ -76,7 +76,7 @@ def agg_variance(ts: Column, value: Column, seq: Column) -> Column:
 def agg_percentile(value: Column, p: float) -> Column:
     """Linear interpolation at rank ``p / 100 * (n - 1)``; 0 for ``p`` outside 0-100 and for no values.
 
-    It holds the values of a group; for groups of any size see :mod:`tidegrid.operators.percentiles`.
+    It holds the values of a group, one series of one query range; the radix operator serves groups of any size.
     """
     if not 0 <= p <= 100:
         return F.max(F.lit(0.0))

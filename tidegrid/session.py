@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+#: Intermediate folders that still stand, in order of making, with the session and process they belong to.
+_standing: list[tuple[str, SparkSession, int]] = []
 
 
 def build_session(app: str = "tidegrid", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -44,7 +49,40 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         if app not in _own_dirs:
             _own_dirs[app] = tempfile.mkdtemp(prefix="tidegrid-")
         base = "file://" + os.path.abspath(_own_dirs[app])
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _standing.append((path, spark, os.getpid()))
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(since: int = 0) -> None:
+    """Delete the intermediate folders made after the first ``since``; frames that read them are then void."""
+    while len(_standing) > since:
+        path, spark, pid = _standing.pop()
+        if pid == os.getpid() and spark.sparkContext._jsc is not None:
+            _delete(spark, path)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Intermediate tables made within are deleted at the end: for results that are written or collected inside."""
+    since = len(_standing)
+    try:
+        yield
+    finally:
+        release(since)
+
+
+@atexit.register
+def _at_exit() -> None:
+    try:
+        release()
+    except Exception:  # noqa: BLE001
+        pass  # the session is gone; its folders go with the shared folder
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
