@@ -45,42 +45,51 @@ def _blocks(windows: list[int], tile_days: int, block_entities: int):
     halo = max(windows) - 1
     bands = [(w, band(halo, tile_days, w)) for w in windows]
 
-    def emit(tile: int, rows: list[tuple]) -> pd.DataFrame:
-        names = list(dict.fromkeys(r[0] for r in rows))
-        at = {n: i for i, n in enumerate(names)}
+    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The days of one block: the rows of whole entities in one tile."""
+        tile = int(pdf["_tile"].iloc[0])
+        i, names = pd.factorize(pdf["_key"], use_na_sentinel=False)
         span = np.zeros((len(names), 2), np.int64)
-        total = np.zeros((len(names), halo + tile_days))
-        count = np.zeros((len(names), halo + tile_days))
-        begin = tile * tile_days - halo
-        for name, day, s, n, first, last in rows:
-            i = at[name]
-            span[i] = first, last
-            if n > 0:
-                total[i, day - begin] += s
-                count[i, day - begin] += n
+        span[i] = pdf[["_first", "_last"]].to_numpy(np.int64)
+        total, count = np.zeros((len(names), halo + tile_days)), np.zeros((len(names), halo + tile_days))
+        n = pdf["_n"].to_numpy(np.int64)
+        # An entity has one row a day, so cells are set, not summed; a row without readings only brings the span.
+        held = n > 0
+        at = i[held], pdf["_day"].to_numpy(np.int64)[held] - (tile * tile_days - halo)
+        total[at], count[at] = pdf["_sum"].to_numpy(float)[held], n[held]
         coarse, fine = split_exact(total, max(windows))
         days = np.arange(tile_days) + tile * tile_days
         inside = (days[None, :] >= span[:, :1]) & (days[None, :] <= span[:, 1:])
-        i, d = np.nonzero(inside)
+        e, d = np.nonzero(inside)
+        keys = np.asarray(names, dtype=object)[e]
         out = []
         for w, b in bands:
             sums, n = coarse @ b + fine @ b, count @ b
-            out.append(pd.DataFrame({"_key": np.asarray(names, dtype=object)[i], "_day": days[d], "trailing_days": np.int32(w), "total": sums[i, d], "n": n[i, d].astype(np.int64)}))
+            out.append(pd.DataFrame({"_key": keys, "_day": days[d], "trailing_days": np.int32(w), "total": sums[e, d], "n": n[e, d].astype(np.int64)}))
         return pd.concat(out, ignore_index=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tile, rows, seen, last = None, [], 0, object()
+        held: pd.DataFrame | None = None
         for pdf in batches:
-            for t, *r in zip(pdf["_tile"].tolist(), pdf["_key"].tolist(), pdf["_day"].tolist(), pdf["_sum"].tolist(), pdf["_n"].tolist(), pdf["_first"].tolist(), pdf["_last"].tolist()):
-                if t != tile or (seen >= block_entities and r[0] != last):
-                    if rows:
-                        yield emit(tile, rows)
-                    tile, rows, seen, last = t, [], 0, object()
-                if r[0] != last:
-                    seen, last = seen + 1, r[0]
-                rows.append(tuple(r))
-        if rows:
-            yield emit(tile, rows)
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            codes = pd.factorize(pdf["_key"], use_na_sentinel=False)[0]
+            tiles = pdf["_tile"].to_numpy()
+            # Numbers of the entities within their tile; the last entity may go on in the next batch.
+            new = np.concatenate(([True], (codes[1:] != codes[:-1]) | (tiles[1:] != tiles[:-1])))
+            starts = np.flatnonzero(new)
+            block, ends = 0, []
+            for k, s in enumerate(starts.tolist()):
+                block = 1 if k == 0 or tiles[s] != tiles[s - 1] or block == block_entities else block + 1
+                if block == 1:
+                    ends.append(s)
+            for a, b in zip(ends, ends[1:]):
+                yield emit(pdf.iloc[a:b])
+            held = pdf.iloc[ends[-1] :]
+        if held is not None and len(held):
+            yield emit(held)
 
     return run
 

@@ -70,8 +70,8 @@ def p3_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Silent days, and the peak day of each series and window."""
-    t = trailing_totals(readings(spark, sf), "series_ref", "ts", "value")
-    # One pass: a silent day goes through as it is, the peak is a running best per series and window.
+    # Two rows a day are left of all readings; written once, both kinds are read from them.
+    t = materialize(trailing_totals(readings(spark, sf), "series_ref", "ts", "value").select("series_ref", "trailing_days", "day", "total", "n"), "trailing")
     silent = t.where(F.col("n") == 0).select(F.lit("silent").alias("kind"), "series_ref", "trailing_days", "day")
     best = F.max_by("day", F.struct("total", (-F.unix_date("day")).alias("early")))
     peak = t.where(F.col("n") > 0).groupBy("series_ref", "trailing_days").agg(best.alias("day")).select(F.lit("peak").alias("kind"), "series_ref", "trailing_days", "day")
