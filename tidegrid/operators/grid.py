@@ -14,6 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.operators.common import is_small
+from tidegrid.session import materialize
+
 OBSERVED, FILLED, MISSING = "observed", "filled", "missing"
 
 
@@ -51,22 +54,33 @@ def regular_grid(readings: DataFrame, keys: list[str], ts: str, value: str, peri
 
 def _unroll(observed: DataFrame, keys: list[str], k: list[str], max_gap_periods: int, tile_periods: int, period_ms: str) -> DataFrame:
     packed = observed.groupBy(*k, "_p", "_tile").agg(F.array_sort(F.collect_list(F.struct("_s", "_n", "_v"))).alias("_obs"))
+    packed = packed.select(*k, "_p", "_tile", F.element_at("_obs", 1)["_s"].alias("_from"), F.element_at("_obs", -1).alias("_end"), "_obs")
+    # Written once: the frame of tiles reads its narrow columns, the grid its arrays.
+    packed = materialize(packed, "grid-tiles")
     span = F.col("_p") * F.lit(tile_periods)
-    ends = packed.groupBy(*k, "_p").agg(F.min("_tile").alias("_t0"), F.max("_tile").alias("_t1"), F.min(F.element_at("_obs", 1)["_s"]).alias("_first"), F.max(F.element_at("_obs", -1)["_s"]).alias("_last"))
+    narrow = packed.select(*k, "_p", "_tile", "_from", "_end")
+    ends = narrow.groupBy(*k, "_p").agg(F.min("_tile").alias("_t0"), F.max("_tile").alias("_t1"), F.min("_from").alias("_first"), F.max("_end._s").alias("_last"))
     tiles = ends.withColumn("_tile", F.explode(F.sequence("_t0", "_t1", span))).drop("_t0", "_t1")
-    # Only the last observation of each tile goes through the window; the arrays stay where they are.
-    def match(right: DataFrame) -> list[Column]:
-        return [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in k] + [F.col(c) == F.col(f"_r{c}") for c in ("_p", "_tile")]
 
-    right = packed.select(*[F.col(c).alias(f"_r{c}") for c in [*k, "_p", "_tile"]], "_obs")
-    last = right.select(*[f"_r{c}" for c in [*k, "_p", "_tile"]], F.element_at("_obs", -1).alias("_end"))
+    def match(right: DataFrame) -> tuple[DataFrame, list[Column]]:
+        names = {c: f"_r{c}" for c in [*k, "_p", "_tile"]}
+        return right.withColumnsRenamed(names), [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in k] + [F.col(c) == F.col(f"_r{c}") for c in ("_p", "_tile")]
+
+    # Only the last observation of each tile goes through the window; the arrays stay where they are.
     before = Window.partitionBy(*k, "_p").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
-    tiles = tiles.join(last, match(last), "left").withColumn("_carry", F.last("_end", ignorenulls=True).over(before)).select(*k, "_p", "_tile", "_first", "_last", "_carry")
-    joined = tiles.join(right, match(right), "left").select(*k, "_p", "_tile", "_first", "_last", "_carry", "_obs")
+    last, on = match(narrow.select(*k, "_p", "_tile", "_end"))
+    tiles = tiles.join(last, on, "left").withColumn("_carry", F.last("_end", ignorenulls=True).over(before)).select(*k, "_p", "_tile", "_first", "_last", "_carry", F.col("_end").isNotNull().alias("_seen"))
+    tiles = materialize(tiles, "grid-frame")
+    # The left join of frame and observations in two parts, so that arrays are not shuffled where the frame is small.
+    seen = tiles.where("_seen").drop("_seen")
+    right, on = match(packed.select(*k, "_p", "_tile", "_obs"))
+    joined = right.join(F.broadcast(seen) if is_small(seen) else seen, on).select(*k, "_p", "_tile", "_first", "_last", "_carry", "_obs")
+    silent = tiles.where(~F.col("_seen")).select(*k, "_p", "_tile", "_first", "_last", "_carry", F.array().cast(packed.schema["_obs"].dataType).alias("_obs"))
+    joined = joined.unionByName(silent)
     # Segments: from one observed period up to the next; the first begins with the tile and holds what was carried in.
     lo, hi = F.greatest("_tile", "_first"), F.least(F.col("_tile") + span - F.col("_p"), F.col("_last"))
     # They stand in a column of their own: looking at the next one must not build the array again.
-    joined = joined.withColumn("_seg", F.concat(F.when(F.col("_carry").isNotNull(), F.array(F.col("_carry"))).otherwise(F.array()), F.coalesce("_obs", F.array())))
+    joined = joined.withColumn("_seg", F.concat(F.when(F.col("_carry").isNotNull(), F.array(F.col("_carry"))).otherwise(F.array()), "_obs"))
     segments = F.col("_seg")
     segments = F.transform(
         segments, lambda x, i: F.struct(x.alias("o"), F.greatest(x["_s"], lo).alias("from"), (F.coalesce(F.get(F.col("_seg"), i + 1)["_s"], hi + F.col("_p")) - F.col("_p")).alias("to"))
