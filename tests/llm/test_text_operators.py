@@ -173,6 +173,41 @@ def test_sentence_of_several_items_counts_for_each(spark):
     assert Counter(r.eval_id for r in leaked(d, "id", "t", e, "eval_id", "p").collect()) == {1: 1, 2: 1}
 
 
+def shared_vocabulary(rng):
+    """Test items of which many share their words, and documents with runs of them, whole and altered."""
+    few = NAMES[:60]
+    items = [(k, " ".join(rng.choice(few if k % 2 else NAMES) for _ in range(40)) + ".") for k in range(60)]
+    docs = []
+    for k, p in items:
+        w = p.rstrip(".").split()
+        for alter in (False, True):
+            cut = rng.randint(0, 24)
+            run = w[cut : cut + 15]
+            docs.append((len(docs), " ".join([*rng.choices(NAMES, k=30), *(run[:7] + ["zzz"] + run[8:] if alter else run), *rng.choices(NAMES, k=9)])))
+    return items, docs
+
+
+def test_leaks_do_not_depend_on_blocks_and_loads(spark):
+    items, docs = shared_vocabulary(random.Random(11))
+    d, e = spark.createDataFrame(docs, "id long, t string").repartition(3), spark.createDataFrame(items, "item long, p string")
+    found = lambda e, **k: {(r.item, r.id) for r in leaked(d, "id", "t", e, "item", "p", **k).collect()}
+    whole = found(e)
+    assert whole == found(e.repartition(5), block=7) == found(e.orderBy(F.desc("item")), block=20, index_bytes=1)
+    # Held against a search of all pairs that knows nothing of shingles: 12 words of the passage in a row.
+    runs = lambda w: {tuple(w[i : i + 12]) for i in range(len(w) - 11)}
+    want = {(k, i) for k, p in items for i, t in docs if runs(words(p)) & runs(words(t))}
+    assert len(want) >= 60 and len(want - whole) <= 0.01 * len(want)
+    exact = found(e, exact=True)
+    assert want <= exact and whole <= exact and len(exact - whole) <= 0.01 * len(exact)
+
+
+def test_a_sentence_inside_a_longer_run_counts(spark):
+    e = spark.createDataFrame([(1, "Bagu left the old mill early. Nobody saw him go.")], "item long, p string")
+    d = spark.createDataFrame([(1, "x Bagu left the old mill early nobody y"), (2, "the old mill early"), (3, "a <b and Bagu left the old mill > early")], "id long, t string")
+    assert [r.id for r in leaked(d, "id", "t", e, "item", "p").collect()] == [1]
+    assert plain("<a href='" + "x" * 500 + "'>b</a> 1 < 2 > 0") == " b  1 < 2 > 0"
+
+
 def test_more_functions_for_larger_segments():
     for mode in (WORDS, LETTERS):
         sizes = size_classes(mode)

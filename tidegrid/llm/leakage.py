@@ -10,12 +10,17 @@ the similarity, and that gives how many functions are looked up to miss at most
 Pairs that share a minimum are verified on the text: shingles of the document that the passage contains are
 joined to runs along the alignment, across one altered word at a time, and the longest run decides.
 
-The queries are broadcast, in blocks of ``block`` test items, so what a task holds is bounded whatever the
-size of the test set; the corpus is read once per block and never shuffled.
+An altered word is crossed only beside telling words, those that few sentences of all the test items have: sentence
+patterns filled with other names share the rest. The counts come from one aggregation over all items.
+
+The index over the items is built by tasks, in blocks of about ``block`` items, and goes to the workers by
+broadcast, as many blocks at once as stay within ``INDEX_BYTES``: one pass over the corpus for each such load, in
+which a text is cut and hashed once. Which items share a block changes nothing. The corpus is never shuffled.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,14 +28,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.llm.text import has_cjk, is_cjk, mix, plain, shingle_hashes, words
+from tidegrid.session import materialize
 
 #: Share of qualifying pairs that the search may miss.
 MISS = 5e-4
+#: Bytes of index that a worker holds at once, and characters of passages in a block.
+INDEX_BYTES, BLOCK_CHARS = 192 << 20, 2_000_000
+#: A word is telling if at most so many sentences of the test items have it, or so large a share of them.
+TELLING, TELLING_SHARE = 2, 5e-4
 _SENTENCE = re.compile(r"[.!?。！？]+\s*")
 
 
@@ -57,7 +68,7 @@ class Mode:
 
 
 WORDS = Mode(width=5, least=12, half=8, altered=1, bridged=11)
-LETTERS = Mode(width=8, least=25, half=16, altered=6, bridged=20)
+LETTERS = Mode(width=8, least=25, half=16, altered=6, bridged=19)
 
 
 def functions_for(mode: Mode, size: int) -> int:
@@ -105,90 +116,61 @@ def _letters(text: str) -> list[str]:
     return list("".join(words(text)))
 
 
+def _sentences(passage: str, cut) -> list[tuple[int, list[str]]]:
+    """The sentences of a passage as units, each with the place of its first unit."""
+    out, at = [], 0
+    for text in _SENTENCE.split(passage):
+        own = cut(plain(text))
+        if own:
+            out.append((at, own))
+        at += len(own)
+    return out
+
+
 class Index:
-    """The passages of one block of test items, of one mode."""
+    """The passages of one block of test items, of one mode; ``telling`` holds the telling words among theirs."""
 
-    def __init__(self, mode: Mode, items: list[tuple[int, str]]):
-        self.mode, units = mode, Units()
+    def __init__(self, mode: Mode, items: list[tuple[object, str]], telling: set[str]):
+        self.mode, self.telling, units = mode, telling, Units()
         cut = words if mode == WORDS else _letters
         self.items = [i for i, _ in items]
-        tokens = [cut(plain(p)) for _, p in items]
-        self.classes = size_classes(mode)
-        self.seeds = _seeds(max(n for _, n in self.classes))
+        self.tokens = [cut(plain(p)) for _, p in items]
+        self.sentences = [[(a, a + len(u)) for a, u in _sentences(p, cut)] for _, p in items]
+        seeds = _seeds(max(n for _, n in size_classes(mode)))
         shingles, item, pos = [], [], []
-        minima: list[set[tuple[int, int]]] = [set() for _ in self.seeds]
-        self.sentences: list[set[tuple[int, int]]] = []
-        seen: dict[str, set[str]] = defaultdict(set)
-        for i, t in enumerate(tokens):
+        minima: list[list[np.ndarray]] = [[] for _ in seeds]
+        for i, t in enumerate(self.tokens):
             h = shingle_hashes(units.hashes(t), mode.width)
             shingles.append(h)
             item.append(np.full(len(h), i))
             pos.append(np.arange(len(h)))
-            for q in range(max(1, len(h) - mode.query + 1) if len(h) else 0):
-                m = mix(h[q : q + mode.query, None] ^ self.seeds[None, :]).min(axis=0)
-                for f, v in enumerate(m.tolist()):
-                    minima[f].add((v, i))
-            ends, at = set(), 0
-            for s in _SENTENCE.split(items[i][1]):
-                own = cut(plain(s))
-                if own:
-                    ends.add((at, at + len(own)))
-                at += len(own)
-                for u in own:
-                    seen[u].add(" ".join(own))
-            self.sentences.append(ends)
-        self.tokens = tokens
-        # A word is telling if hardly any other sentence has it; sentence patterns are made of words that many share.
-        self.telling = {u for u, s in seen.items() if len(s) <= 2}
-        self.keys: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for s in minima:
-            pairs = sorted(s)
-            v = np.asarray([a for a, _ in pairs], np.uint64)
-            keys, first = np.unique(v, return_index=True)
-            self.keys.append((keys, np.append(first, len(v)), np.asarray([b for _, b in pairs], np.int64)))
+            if not len(h):
+                continue
+            starts = np.arange(max(1, len(h) - mode.query + 1))
+            for f, seed in enumerate(seeds):
+                mixed = np.concatenate([mix(h ^ seed), np.full(mode.query, np.iinfo(np.uint64).max)])
+                least = np.lib.stride_tricks.sliding_window_view(mixed, mode.query)[starts].min(axis=1)
+                minima[f].append(np.unique(_short(least)).astype(np.uint64) << np.uint64(32) | np.uint64(i))
+        # Per function the minima, shortened to 32 bits, and the items that have them: what is looked up is verified.
+        self.keys: list[tuple[np.ndarray, np.ndarray]] = []
+        for pairs in minima:
+            both = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.uint64)
+            self.keys.append(((both >> np.uint64(32)).astype(np.uint32), both.astype(np.uint32)))
         h = np.concatenate(shingles) if shingles else np.empty(0, np.uint64)
         order = np.argsort(h, kind="stable")
-        self.shingle, self.item, self.pos = h[order], np.concatenate(item)[order] if item else order, np.concatenate(pos)[order] if pos else order
-
-    def candidates(self, h: np.ndarray, owner: np.ndarray) -> dict[int, set[int]]:
-        """Items by document that share a minimum with one of its segments; ``h`` and ``owner`` by shingle."""
-        out: dict[int, set[int]] = defaultdict(set)
-        if not len(h) or not self.items:
-            return out
-        start = np.concatenate(([0], np.flatnonzero(owner[1:] != owner[:-1]) + 1))
-        length = np.diff(np.append(start, len(h)))
-        halves = np.concatenate([np.arange(s, s + n, self.mode.half) for s, n in zip(start.tolist(), length.tolist())])
-        of = owner[halves]
-        size = np.diff(np.append(halves, len(h)))
-        joined = np.append(of[1:] == of[:-1], False)
-        full = size + np.where(joined, np.append(size[1:], 0), 0)
-        # The last half of a longer document is already inside the segment that begins before it.
-        use = joined | np.concatenate(([True], of[1:] != of[:-1]))
-        number = np.zeros(len(full), np.int64)
-        for top, n in reversed(self.classes):
-            number[full <= top] = n
-        number[~use] = 0
-        for f, seed in enumerate(self.seeds):
-            rows = np.flatnonzero(number > f)
-            keys, first, items = self.keys[f]
-            if not len(rows) or not len(keys):
-                continue
-            m = np.minimum.reduceat(mix(h ^ seed), halves)
-            both = np.where(joined, np.minimum(m, np.append(m[1:], np.iinfo(np.uint64).max)), m)[rows]
-            at = np.minimum(np.searchsorted(keys, both), len(keys) - 1)
-            for r, k in zip(rows[keys[at] == both].tolist(), at[keys[at] == both].tolist()):
-                out[int(of[r])].update(items[first[k] : first[k + 1]].tolist())
-        return out
+        self.shingle = h[order]
+        self.item = (np.concatenate(item) if item else np.empty(0))[order].astype(np.uint32)
+        self.pos = (np.concatenate(pos) if pos else np.empty(0))[order].astype(np.uint32)
 
-    def verify(self, tokens: list[str], h: np.ndarray, among: set[int]) -> list[int]:
-        """The items of ``among`` of which the document holds a sentence or a long enough run."""
+    def verify(self, tokens: list[str], h: np.ndarray, among: set[int] | None) -> list[int]:
+        """The items of ``among`` (None: of all) of which the document holds a sentence or a long enough run."""
         lo, hi = np.searchsorted(self.shingle, h, "left"), np.searchsorted(self.shingle, h, "right")
         hits = np.flatnonzero(hi > lo)
         by: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for d in hits.tolist():
             for k in range(lo[d], hi[d]):
                 i = int(self.item[k])
-                if i in among:
+                if among is None or i in among:
                     by[i].append((d, int(self.pos[k])))
         return [i for i, pairs in by.items() if self._qualifies(i, tokens, pairs)]
 
@@ -210,7 +192,7 @@ class Index:
         # Short equal stretches beside an alteration have no shingle of their own; extend runs over them.
         best = []
         for s, e, diagonal in runs:
-            if e - s >= mode.least or (s, e) in self.sentences[i]:
+            if e - s >= mode.least or any(a >= s and b <= e for a, b in self.sentences[i]):
                 return True
             best.append(self._bridge(passage, tokens, s, e, diagonal))
         for spans in best:
@@ -248,56 +230,155 @@ class Index:
         return out
 
 
-def _search(indexes: list[Index]):
+def _short(minima: np.ndarray) -> np.ndarray:
+    return (minima >> np.uint64(32)).astype(np.uint32)
+
+
+def candidates(mode: Mode, indexes: list[Index], h: np.ndarray, owner: np.ndarray) -> list[dict[int, set[int]]]:
+    """Per index the items by document that share a minimum with one of its segments; ``h`` and ``owner`` by shingle."""
+    out: list[dict[int, set[int]]] = [defaultdict(set) for _ in indexes]
+    start = np.concatenate(([0], np.flatnonzero(owner[1:] != owner[:-1]) + 1))
+    length = np.diff(np.append(start, len(h)))
+    halves = np.concatenate([np.arange(s, s + n, mode.half) for s, n in zip(start.tolist(), length.tolist())])
+    of = owner[halves]
+    size = np.diff(np.append(halves, len(h)))
+    joined = np.append(of[1:] == of[:-1], False)
+    full = size + np.where(joined, np.append(size[1:], 0), 0)
+    # The last half of a longer document is already inside the segment that begins before it.
+    use = joined | np.concatenate(([True], of[1:] != of[:-1]))
+    number = np.zeros(len(full), np.int64)
+    classes = size_classes(mode)
+    for top, n in reversed(classes):
+        number[full <= top] = n
+    number[~use] = 0
+    for f, seed in enumerate(_seeds(max(n for _, n in classes))):
+        rows = np.flatnonzero(number > f)
+        if not len(rows):
+            break
+        m = np.minimum.reduceat(mix(h ^ seed), halves)
+        both = _short(np.where(joined, np.minimum(m, np.append(m[1:], np.iinfo(np.uint64).max)), m)[rows])
+        for index, found in zip(indexes, out):
+            keys, items = index.keys[f]
+            lo = np.searchsorted(keys, both, "left")
+            hits = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == both) if len(keys) else lo[:0]
+            hi = np.searchsorted(keys, both[hits], "right")
+            for r, a, b in zip(rows[hits].tolist(), lo[hits].tolist(), hi.tolist()):
+                found[int(of[r])].update(items[a:b].tolist())
+    return out
+
+
+#: Documents whose segments are hashed together.
+_TOGETHER = 1_000
+
+
+def _search(blocks: list[Broadcast], exact: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         units = Units()
-        for pdf in batches:
-            ids, texts = pdf["_doc"].tolist(), [plain(t) for t in pdf["_text"].tolist()]
-            found: list[tuple] = []
-            for index in indexes:
-                if not index.items:
+        indexes = [i for b in blocks for i in b.value if i.items]
+        modes = [(m, [i for i in indexes if i.mode == m]) for m in (WORDS, LETTERS)]
+
+        def part(ids: list, texts: list[str]) -> Iterator[tuple]:
+            for mode, own in modes:
+                if not own:
                     continue
-                if index.mode == WORDS:
-                    tokens = {i: words(t) for i, t in enumerate(texts)}
-                else:
-                    tokens = {i: _letters(t) for i, t in enumerate(texts) if has_cjk(t)}
-                hashes = {i: shingle_hashes(units.hashes(t), index.mode.width) for i, t in tokens.items() if len(t) >= index.mode.width}
+                tokens = {i: words(t) if mode == WORDS else _letters(t) for i, t in enumerate(texts) if mode == WORDS or has_cjk(t)}
+                hashes = {i: shingle_hashes(units.hashes(t), mode.width) for i, t in tokens.items() if len(t) >= mode.width}
                 if not hashes:
                     continue
-                owner = np.repeat(np.fromiter(hashes, np.int64), [len(h) for h in hashes.values()])
-                for i, among in index.candidates(np.concatenate(list(hashes.values())), owner).items():
-                    found.extend((index.items[k], ids[i]) for k in index.verify(tokens[i], hashes[i], among))
-            yield pd.DataFrame(found, columns=["eval_id", "_doc"])
+                if exact:
+                    among = [dict.fromkeys(hashes) for _ in own]
+                else:
+                    owner = np.repeat(np.fromiter(hashes, np.int64), [len(h) for h in hashes.values()])
+                    among = candidates(mode, own, np.concatenate(list(hashes.values())), owner)
+                for index, by in zip(own, among):
+                    for i, some in by.items():
+                        for k in index.verify(tokens[i], hashes[i], some):
+                            yield index.items[k], ids[i]
+
+        for pdf in batches:
+            found: list[tuple] = []
+            for at in range(0, len(pdf), _TOGETHER):
+                some = pdf.iloc[at : at + _TOGETHER]
+                found.extend(part(some["_doc"].tolist(), [plain(t) for t in some["_text"].tolist()]))
+            yield pd.DataFrame(found, columns=["_item", "_doc"])
 
     return run
 
 
-def leaked(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, block: int = 2_000) -> DataFrame:
+def _spoken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The words of each item's sentences: (``_i``, ``word``, ``sentence``)."""
+    for pdf in batches:
+        rows = []
+        for i, p in zip(pdf["_i"].tolist(), pdf["_p"].tolist()):
+            if not is_cjk(plain(p)):
+                for _, own in _sentences(p, words):
+                    rows.extend((i, w, " ".join(own)) for w in set(own))
+        yield pd.DataFrame(rows, columns=["_i", "word", "sentence"])
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per block, from rows sorted by block: its indexes, pickled."""
+    held: list[pd.DataFrame] = []
+
+    def build() -> pd.DataFrame:
+        pdf = pd.concat(held, ignore_index=True)
+        cjk = [is_cjk(plain(p)) for p in pdf["_p"].tolist()]
+        items = list(zip(pdf["_item"].tolist(), pdf["_p"].tolist()))
+        telling = {w for ws in pdf["_words"].tolist() if ws is not None for w in ws}
+        indexes = [Index(WORDS, [x for x, c in zip(items, cjk) if not c], telling), Index(LETTERS, [x for x, c in zip(items, cjk) if c], set())]
+        return pd.DataFrame({"_block": [int(pdf["_block"].iloc[0])], "payload": [pickle.dumps(indexes)]})
+
+    for pdf in batches:
+        for b, rows in pdf.groupby("_block", sort=False):
+            if held and held[0]["_block"].iloc[0] != b:
+                yield build()
+                held.clear()
+            held.append(rows)
+    if held:
+        yield build()
+
+
+def leaked(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, block: int = 2_000, exact: bool = False, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """(``item_id``, ``doc_id``) of every document that holds a sentence or a long run of a test passage.
 
     A run is 12 words or more (25 letters in text without spaces) of the passage; case, punctuation, accents,
-    spacing, markup and one altered word within it do not count. Items are worked on in blocks of ``block``, so
-    the index that goes to each task is bounded; documents are searched whole.
+    spacing, markup and one altered word within it do not count. Items are indexed in blocks of about ``block``;
+    neither that nor the order of rows changes the result. Documents are searched whole. ``exact`` leaves the
+    MinHash search out and verifies every pair that shares a shingle, for measuring the recall of the search.
+
+    Sentences of fewer than 5 words (8 letters), and altered ones without 5 equal words in a row, are not found.
 
-    Defined cases: null or empty texts and passages match nothing, as do passages of fewer than 5 words that are
-    no sentence of a document; repeated documents each count, as do items that share a sentence; a null id comes
-    back as null; empty tables give no rows; further columns are ignored.
+    Defined cases: null or empty texts and passages match nothing; repeated documents each count, as do items that
+    share a sentence; a null id comes back as null; empty tables give no rows; further columns are ignored.
     """
-    kind, other = documents.schema[doc_id].dataType, items.schema[item_id].dataType
-    schema = T.StructType([T.StructField("eval_id", other), T.StructField("_doc", kind)])
+    spark = documents.sparkSession
+    schema = T.StructType([T.StructField("_item", items.schema[item_id].dataType), T.StructField("_doc", documents.schema[doc_id].dataType)])
     docs = documents.select(F.col(f"`{doc_id}`").alias("_doc"), F.col(f"`{text}`").alias("_text"))
-    rows = items.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{passage}`").alias("p")).where(F.col("p").isNotNull())
-    out, held = None, []
-
-    def search(part: list[tuple]) -> DataFrame:
-        cjk = [x for x in part if is_cjk(plain(x[1]))]
-        rest = [x for x in part if not is_cjk(plain(x[1]))]
-        return docs.mapInPandas(_search([Index(WORDS, rest), Index(LETTERS, cjk)]), schema)
-
-    for r in rows.toLocalIterator():  # the stated query set, a block at a time
-        held.append((r["i"], r["p"]))
-        if len(held) == block:
-            out, held = search(held) if out is None else out.unionByName(search(held)), []
-    if held or out is None:
-        out = search(held) if out is None else out.unionByName(search(held))
-    return out.select(F.col("eval_id").alias(item_id), F.col("_doc").alias(doc_id)).distinct()
+    rows = items.select(F.col(f"`{item_id}`").alias("_item"), F.col(f"`{passage}`").alias("_p")).where(F.length("_p") > 0)
+    rows = materialize(rows.withColumn("_i", F.monotonically_increasing_id()), "leak-items")
+    n, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("_p")), F.lit(0))).first()
+    if not n:
+        return spark.createDataFrame([], schema).select(F.col("_item").alias(item_id), F.col("_doc").alias(doc_id))
+
+    spoken = materialize(rows.select("_i", "_p").mapInPandas(_spoken, "_i long, word string, sentence string"), "leak-words")
+    sentences = spoken.select("sentence").distinct().count()
+    often = spoken.select("word", "sentence").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
+    telling = often.where(F.col("_n") <= max(TELLING, int(TELLING_SHARE * sentences))).select("word")
+    own = spoken.select("_i", "word").distinct().join(telling, "word").groupBy("_i").agg(F.collect_list("word").alias("_words"))
+    blocks = max(-(-n // block), -(-chars // BLOCK_CHARS))
+    cut = rows.join(own, "_i", "left").withColumn("_block", F.pmod(F.xxhash64("_i"), F.lit(blocks)))
+    index = materialize(cut.repartition("_block").sortWithinPartitions("_block", "_i").mapInPandas(_blocks, "_block long, payload binary"), "leak-index")
+
+    out, load, size = [], [], 0
+    search = lambda: docs.mapInPandas(_search(list(load), exact), schema)
+    for r in index.toLocalIterator():  # a block at a time on its way to the workers
+        if load and size + len(r["payload"]) > index_bytes:
+            out.append(search())
+            load, size = [], 0
+        load.append(spark.sparkContext.broadcast(pickle.loads(r["payload"])))
+        size += len(r["payload"])
+    out.append(search())
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole.select(F.col("_item").alias(item_id), F.col("_doc").alias(doc_id)).distinct()

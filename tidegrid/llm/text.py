@@ -8,7 +8,8 @@ import unicodedata
 
 import numpy as np
 
-_TAG = re.compile(r"<[^<>]{1,200}>")
+#: Tags, comments and declarations of any length; a sign before anything but a letter is a sign.
+_TAG = re.compile(r"<(?:/?[A-Za-z]|[!?])[^<>]*>")
 _NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
 _INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
 _ACCENT = re.compile("[̀-ͯ]")
