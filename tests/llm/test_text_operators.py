@@ -52,6 +52,31 @@ def test_pack(spark, rule, most, over):
     assert pack(df.limit(0), "id", "n").count() == 0
 
 
+@pytest.mark.parametrize(("most", "attention"), [(256, None), (20, None), (256, 150_000), (24, 250_000)])
+def test_every_limit_binds_and_partitions_do_not_matter(spark, most, attention):
+    rng = random.Random(2)
+    sizes = [int(rng.lognormvariate(4, 1)) + 1 for _ in range(2500)]
+    sizes = [min(n, 350) for n in sizes]
+    df = spark.createDataFrame(list(enumerate(sizes)), "id long, n long")
+    results = []
+    for partitions in ("4", "64"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            results.append(sorted(map(tuple, pack(df.repartition(int(partitions)), "id", "n", 2048, most, attention, block=500).collect())))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert results[0] == results[1]
+    bins = defaultdict(list)
+    for _, _, _, tokens, container in results[0]:
+        bins[container].append(tokens)
+    limit = attention or 2048**2
+    assert all(sum(b) <= 2048 and len(b) <= most and sum(t * t for t in b) <= limit for b in bins.values())
+    # No packing can do with fewer containers than the scarcest of the three asks for.
+    least = max(sum(sizes) / 2048, len(sizes) / most, sum(n * n for n in sizes) / limit)
+    assert len(bins) <= 1.08 * least + 2, (len(bins), least)
+
+
 def test_an_item_over_a_limit_stands_alone(spark):
     df = spark.createDataFrame([(1, 90), (2, 5), (3, 6)], "id string, n long")
     got = {r.id: r.container for r in pack(df, "id", "n", 100, max_attention=100).collect()}

@@ -21,6 +21,8 @@ TOKENIZERS = os.environ.get("TIDEGRID_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pattern that the byte-level rank files were made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CAPACITY = 2048
+#: Reviews a container holds at most, and half of what attention over a full container of one text costs.
+MOST_TEXTS, MOST_ATTENTION = 64, CAPACITY**2 // 2
 
 
 #: Percentiles asked for, and the groupings they are wanted in.
@@ -70,9 +72,22 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
-    """Every review in containers of 2,048 tokens."""
+    """Every review in containers of 2,048 tokens, 64 texts and a bounded cost of attention."""
     sized = _documents(spark, sf).select("doc_id", token_count(F.col("text"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", PATTERN).alias("n_tokens"))
-    return pack(sized, "doc_id", "n_tokens", CAPACITY)
+    return pack(sized, "doc_id", "n_tokens", CAPACITY, MOST_TEXTS, MOST_ATTENTION)
+
+
+def p8_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: the reviews in containers, how many are not whole in consecutive pieces, and containers over each limit."""
+    packed = materialize(p8_containers(spark, sf), "containers")
+    texts = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.countDistinct("piece").alias("d"), F.max("piece").alias("top"), F.sum((F.col("tokens") < CAPACITY).cast("int")).alias("short"))
+    whole = (F.col("k") == F.col("d")) & (F.col("top") == F.col("k") - 1) & (F.col("short") <= 1)
+    texts = texts.agg(F.count(F.lit(1)).alias("texts"), F.count(F.when(~whole, 1)).alias("not_whole"))
+    held = packed.groupBy("container").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.sum(F.col("tokens") * F.col("tokens")).alias("a"))
+    over = lambda c: F.count(F.when(c, 1))
+    # A piece that alone exceeds a limit stands alone.
+    held = held.agg(over(F.col("t") > CAPACITY).alias("over_tokens"), over(F.col("n") > MOST_TEXTS).alias("over_texts"), over((F.col("a") > MOST_ATTENTION) & (F.col("n") > 1)).alias("over_attention"))
+    return texts.join(held)  # of one row each
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,7 +106,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_percentiles": p7_percentiles, "p7_merged_days": p7_merged_days, "p7_days_within": p7_days_within, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found, "p10_shares": p10_shares}
+    return {"p7_percentiles": p7_percentiles, "p7_merged_days": p7_merged_days, "p7_days_within": p7_days_within, "p8_containers": p8_containers, "p8_limits": p8_limits, "p9_found": p9_found, "p10_found": p10_found, "p10_shares": p10_shares}
 
 
 _RANKED = """v AS (SELECT metric, labels['region'] AS region, value FROM (SELECT *, row_number() OVER (PARTITION BY series_ref, ts ORDER BY seq DESC) AS rn FROM samples) WHERE rn = 1 AND value IS NOT NULL AND isfinite(value)),
@@ -104,6 +119,9 @@ SELECT metric, scope, region, p, max(CASE WHEN i = floor(p * (n - 1)) THEN value
 P7_WITHIN = f"WITH {_RANKED}, g AS (SELECT metric, scope, region, count(*) AS n FROM s GROUP BY ALL) SELECT metric, scope, region, p, n, TRUE AS within FROM g, p"
 
 
+P8_LIMITS = "SELECT count(*) AS texts, 0::BIGINT AS not_whole, 0::BIGINT AS over_tokens, 0::BIGINT AS over_texts, 0::BIGINT AS over_attention FROM documents"
+
+
 def oracle_sql() -> dict[str, str]:
     """Tokenizers, alterations and folded text are beyond SQL; the tests hold them against brute force."""
-    return {"p7_percentiles": P7, "p7_days_within": P7_WITHIN}
+    return {"p7_percentiles": P7, "p7_days_within": P7_WITHIN, "p8_limits": P8_LIMITS}
