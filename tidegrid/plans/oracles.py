@@ -84,4 +84,4 @@ l AS (SELECT series_ref, CASE WHEN short < 0.25 * n THEN NULL WHEN again = 0 THE
 SELECT series_ref, ts FROM c JOIN l USING (series_ref) WHERE length >= least AND NOT bad"""
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_grid": P1_GRID, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_totals": P3_TOTALS, "p4_found": P4_FOUND, "p4_messages": P4_MESSAGES, "p4_delivered": P4_DELIVERED, "p5_found": P5_FOUND, "p6_impossible": P6_IMPOSSIBLE, "p6_stuck": P6_STUCK}
+    return {"p1_found": P1_FOUND, "p1_grid": P1_GRID, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_totals": P3_TOTALS, "p4_found": P4_FOUND, "p4_messages": P4_MESSAGES, "p4_delivered": P4_DELIVERED, "p5_found": P5_FOUND, "p5_incremental": P5_FOUND, "p6_impossible": P6_IMPOSSIBLE, "p6_stuck": P6_STUCK}
