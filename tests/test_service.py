@@ -3,6 +3,7 @@ import json
 import subprocess
 import sys
 import threading
+import time
 from pathlib import Path
 from urllib.error import HTTPError
 from urllib.request import Request, urlopen
@@ -10,7 +11,7 @@ from urllib.request import Request, urlopen
 import pytest
 from pyspark.sql import functions as F
 
-from tidegrid.api import serve
+from tidegrid.api import Service, serve
 from tidegrid.cli import main, when
 from tidegrid.operators.rollup import downsample
 from tidegrid.operators.select import dedup_last
@@ -65,7 +66,7 @@ def test_stream_of_lines_and_rollups(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("m,h=1 1 1000\nm,h=1 2 2000\nbroken\n")
     run = lambda: ingest_lines(spark, str(tmp_path / "in"), str(tmp_path / "db"), str(tmp_path / "ck"), 0).awaitTermination()
-    roll = lambda: rollup_stream(spark, f"{tmp_path}/db/v=0", str(tmp_path / "r"), str(tmp_path / "ck2")).awaitTermination()
+    roll = lambda: rollup_stream(spark, f"{tmp_path}/db", str(tmp_path / "r"), str(tmp_path / "ck2")).awaitTermination()
     run(), run()
     s = Store(spark, str(tmp_path / "db"))
     assert s.scan().count() == 2
@@ -81,6 +82,51 @@ def test_stream_of_lines_and_rollups(spark, tmp_path):
     assert rollup_aggregate(stream, "5m", "1 hour").isStreaming
 
 
+def test_appends_and_compactions_lose_nothing(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path / "db"))
+    part = lambda i: parse_lines(spark.createDataFrame([(f"m,h={i % 2} {i} {1000 * (i // 2)}", i)], "value string, seq long"), 0, seq="seq")
+    rows = lambda: sorted((r.ts, r.value) for r in dedup_last(s.scan()).collect())
+    for i in range(7):
+        assert s.append(part(i), f"b{i}")
+    assert not s.append(part(99), "b3") and len(s.log()) == 7  # the batch is there already
+    want = rows()
+    assert s.cycle() == 1 and [e["level"] for e in s.live().values()] == [0, 0, 0, 0, 1]
+    assert s.cycle() == 1 and s.cycle() == 0 and [e["level"] for e in s.live().values()] == [0, 1, 1] and rows() == want
+    write = Store._write
+
+    def meanwhile(self, samples, name):
+        write(self, samples, name)
+        monkeypatch.undo()
+        assert self.append(part(40), "late")  # between the data of a compaction and its commit
+
+    monkeypatch.setattr(Store, "_write", meanwhile)
+    assert s.compact()
+    assert rows() == sorted([*want, (20_000, 40.0)]) and [e["level"] for e in s.live().values()] == [0, 2]
+    # A merge of what is gone is not committed.
+    assert not s._merge(["b0"], 1) or "b0" in s.live()
+    assert s.vacuum() > 0 and rows() == sorted([*want, (20_000, 40.0)])
+    (bad,) = (tmp_path / "db" / "data" / "commit=late").rglob("*.parquet")
+    bad.write_bytes(b"broken")
+    bad.with_name("." + bad.name + ".crc").unlink(missing_ok=True)
+    assert rows() == want
+
+
+def test_maintenance_runs_by_itself(spark, tmp_path):
+    service = Service(spark, str(tmp_path))
+    for i in range(3):
+        service.write(f"m {i} {i}")
+    stop = threading.Event()
+    threads = service.maintain(stop, 0.1, 3600)
+    deadline = time.time() + 90
+    while time.time() < deadline and ([e["level"] for e in service.store.live().values()] != [1] or not list(tmp_path.glob("rollups/resolution=1m/*.parquet"))):
+        time.sleep(0.2)
+    stop.set()
+    for t in threads[:1]:
+        t.join(60)
+    assert [e["level"] for e in service.store.live().values()] == [1]
+    assert spark.read.parquet(f"{service.rollups}/resolution=1m").count() == 1
+
+
 def test_manifest_counts_series_exactly(spark, tmp_path):
     s = Store(spark, str(tmp_path / "db"))
     lines = spark.range(8000).select(F.concat(F.lit("m,h="), (F.col("id") % 5000).cast("string"), F.lit(" 1 "), F.col("id").cast("string")).alias("value"), F.col("id").alias("seq"))

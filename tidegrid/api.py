@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import re
 import threading
 import time
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tidegrid.lang import QueryError, parse_duration, parse_time
 from tidegrid.operators.rollup import rebuild_rollups
 from tidegrid.operators.select import dedup_last
-from tidegrid.plans.engine import Engine
+from tidegrid.plans.engine import INSTANT_MS, Engine
 from tidegrid.sources.line_protocol import parse_lines
 from tidegrid.sources.store import Store
 
@@ -57,7 +58,8 @@ class Service:
             raise HttpError(400, bad["error"])
 
     def query(self, text: str, at: str | None) -> dict:
-        return self.engine().instant(text, parse_time(at) if at else self.clock()).to_dict()
+        t = parse_time(at) if at else self.clock()
+        return self.engine(t - INSTANT_MS, t).instant(text, t).to_dict()
 
     def query_range(self, text: str, start: str, end: str, step: str | None) -> dict:
         if step:
@@ -72,7 +74,7 @@ class Service:
 
     def status(self) -> dict:
         r = self.engine().status().first()
-        return {"numSeries": r["num_series"], "numBlocks": self.store.manifest().count(), "totalSamples": r["total_samples"], "minTime": r["min_time"], "maxTime": r["max_time"]}
+        return {"numSeries": r["num_series"], "numBlocks": self.store.num_files(), "totalSamples": r["total_samples"], "minTime": r["min_time"], "maxTime": r["max_time"]}
 
     def labels(self) -> list[str]:
         return [r[0] for r in self.engine().label_names().collect()]
@@ -81,12 +83,27 @@ class Service:
         return [r[0] for r in self.engine().label_values(name).collect()]
 
     def compact(self) -> None:
-        with self._lock:
-            self.store.compact()
+        self.store.compact()
 
     def downsample(self) -> None:
         rebuild_rollups(dedup_last(self.store.scan().where(F.lit(True))), self.rollups)
 
+    def maintain(self, stop: threading.Event, compact_s: float = 300, downsample_s: float = 600) -> list[threading.Thread]:
+        """Until ``stop``: a round of compaction every five minutes, rollups now and every ten. A failed round is left to the next."""
+
+        def every(seconds: float, work: Callable[[], object], at_once: bool) -> None:
+            while at_once or not stop.wait(seconds):
+                at_once = False
+                try:
+                    work()
+                except Exception as e:  # noqa: BLE001
+                    logging.getLogger(__name__).warning("maintenance failed: %s", e)
+
+        threads = [threading.Thread(target=every, args=a, daemon=True) for a in ((compact_s, self.store.cycle, False), (downsample_s, self.downsample, True))]
+        for t in threads:
+            t.start()
+        return threads
+
 
 def handler(service: Service) -> type[BaseHTTPRequestHandler]:
     class Handler(BaseHTTPRequestHandler):
@@ -167,6 +184,9 @@ def handler(service: Service) -> type[BaseHTTPRequestHandler]:
     return Handler
 
 
-def serve(spark: SparkSession, root: str, port: int = 9090, host: str = "127.0.0.1") -> ThreadingHTTPServer:
-    """A server that is ready to ``serve_forever``."""
-    return ThreadingHTTPServer((host, port), handler(Service(spark, root)))
+def serve(spark: SparkSession, root: str, port: int = 9090, host: str = "127.0.0.1", maintenance: bool = False) -> ThreadingHTTPServer:
+    """A server that is ready to ``serve_forever``; with ``maintenance`` compaction and rollups run by themselves beside it."""
+    service = Service(spark, root)
+    if maintenance:
+        service.maintain(threading.Event())
+    return ThreadingHTTPServer((host, port), handler(service))

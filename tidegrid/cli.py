@@ -41,7 +41,7 @@ def main(argv: list[str] | None = None) -> int:
             from tidegrid.api import serve
             from tidegrid.session import build_session
 
-            serve(build_session("tidegrid server"), a.data_dir, a.port).serve_forever()
+            serve(build_session("tidegrid server"), a.data_dir, a.port, maintenance=True).serve_forever()
         elif a.command == "query":
             print(json.dumps(json.loads(call(a.server, "/api/v1/query?" + urlencode({"query": " ".join(a.text)}))), indent=2))
         elif a.command == "status":

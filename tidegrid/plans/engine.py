@@ -137,5 +137,5 @@ class Engine:
         return self.samples.select(F.col("labels")[name].alias("value")).where(F.col("value").isNotNull()).distinct().orderBy("value")
 
     def status(self) -> DataFrame:
-        """One row: series, samples, first and last time."""
-        return self.samples.agg(F.countDistinct("series_key").alias("num_series"), F.count(F.lit(1)).alias("total_samples"), F.min("ts").alias("min_time"), F.max("ts").alias("max_time"))
+        """One row: series, samples without rewrites, first and last time."""
+        return dedup_last(self.samples).agg(F.countDistinct("series_key").alias("num_series"), F.count(F.lit(1)).alias("total_samples"), F.min("ts").alias("min_time"), F.max("ts").alias("max_time"))

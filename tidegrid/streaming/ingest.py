@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,8 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 from tidegrid.functions.spelling import RESOLUTION_MS
 from tidegrid.operators.rollup import bucket, downsample
 from tidegrid.operators.select import dedup_last
+from tidegrid.schema import SAMPLES
 from tidegrid.sources.line_protocol import parse_lines
-from tidegrid.sources.store import Store
+from tidegrid.sources.store import Store, _fs
 
 #: Bytes of one micro-batch's file that the order of writes leaves room for.
 _BATCH_BYTES = 1 << 40
@@ -36,21 +40,25 @@ def in_file_order(batch: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(firsts), ["file", "start"]).select("value", at.alias("at"))
 
 
-def ingest_lines(spark: SparkSession, folder: str, root: str, checkpoint: str, now_ms: int, available_now: bool = True) -> StreamingQuery:
-    """Parse lines into a store. A batch that is repeated after a failure replaces what it wrote before.
+def ingest_lines(spark: SparkSession, folder: str, root: str, checkpoint: str, now_ms: int | None = None, available_now: bool = True) -> StreamingQuery:
+    """Parse lines into a store, a commit per batch; a batch that is repeated after a failure is there once.
 
-    Bad lines (``seq``, ``line``, ``error``) go to ``rejected/batch=<n>`` below ``root``, see :func:`read_rejected`.
+    Lines without a time get ``now_ms``, by default the time of their batch. Bad lines (``seq``, ``line``, ``error``) go to
+    ``rejected/batch=<n>`` below ``root``, see :func:`read_rejected`.
     """
     store = Store(spark, root)
+    # Several streams may write into one store.
+    stream = f"{zlib.crc32(checkpoint.encode()):08x}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # Arrival: the batch, then the position within its file; a repeated batch gives the same numbers.
         numbered = in_file_order(batch).select("value", (F.lit(batch_id * _BATCH_BYTES) + F.col("at")).alias("seq"))
-        parsed = parse_lines(numbered, now_ms, "quarantine", seq="seq").persist()
+        now = int(time.time() * 1000) if now_ms is None else now_ms
+        parsed = parse_lines(numbered, now, "quarantine", seq="seq").persist()
         try:
             rejected = parsed.where(F.col("error").isNotNull()).select("seq", "line", "error")
             rejected.write.mode("overwrite").parquet(f"{store.root}/rejected/batch={batch_id}")
-            store.append(parsed.where(F.col("error").isNull()).drop("error", "line"))
+            store.append(parsed.where(F.col("error").isNull()).drop("error", "line"), f"stream-{stream}-{batch_id}")
         finally:
             parsed.unpersist()
 
@@ -63,22 +71,29 @@ def read_rejected(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema("seq long, line string, error string, batch long").parquet(f"{root.rstrip('/')}/rejected")
 
 
-def rollup_stream(spark: SparkSession, samples_path: str, rollup_root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Recompute the hours that a batch touches from the deduplicated samples, so rewrites are not counted twice.
+def rollup_stream(spark: SparkSession, root: str, rollup_root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Recompute the hours that a batch touches from the deduplicated samples of a store, so rewrites are not counted twice.
 
-    Touched (series, hour) pairs semi-join the samples; results land in ``batch=<n>`` folders whose greatest
-    number wins on reading, see :func:`read_rollups`.
+    Touched (series, hour) pairs semi-join the live samples of their days; results land in ``batch=<n>`` folders
+    whose greatest number wins on reading, see :func:`read_rollups`. Compactions of the store pass through as
+    rewrites that change nothing.
     """
-    schema = spark.read.parquet(samples_path).schema
+    store = Store(spark, root)
+    fs, p = _fs(spark, f"{store.root}/data")
+    fs.mkdirs(p)
+    hour = bucket(F.col("ts"), RESOLUTION_MS["1h"])
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        hour = bucket(F.col("ts"), RESOLUTION_MS["1h"])
-        touched = batch.select("series_key", hour.alias("_hour")).distinct()
-        raw = spark.read.schema(schema).parquet(samples_path).withColumn("_hour", hour)
-        again = dedup_last(raw.join(touched, ["series_key", "_hour"], "left_semi").drop("_hour"))
-        downsample(again).write.mode("overwrite").parquet(f"{rollup_root}/batch={batch_id}")
+        touched = batch.select("series_key", hour.alias("_hour")).distinct().persist()
+        try:
+            first, last = touched.agg(F.min("_hour"), F.max("_hour")).first()
+            raw = store.scan(None if first is None else first - RESOLUTION_MS["1h"], None if last is None else last + RESOLUTION_MS["1h"])
+            again = dedup_last(raw.withColumn("_hour", hour).join(touched, ["series_key", "_hour"], "left_semi").drop("_hour"))
+            downsample(again).write.mode("overwrite").parquet(f"{rollup_root}/batch={batch_id}")
+        finally:
+            touched.unpersist()
 
-    w = spark.readStream.schema(schema).parquet(samples_path).writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
+    w = spark.readStream.schema(SAMPLES).parquet(f"{store.root}/data").writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 minutes")).start()
 
 
