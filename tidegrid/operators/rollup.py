@@ -33,18 +33,31 @@ def downsample(samples: DataFrame, resolutions: Iterable[str] = tuple(RESOLUTION
     return out.withColumnRenamed("_b", "ts").select(*ROLLUP_COLUMNS)
 
 
+def _least(c: str) -> Column:
+    """The least of points' minima: NaN only if all are, so that points of nothing but NaN do not hide the others."""
+    return F.min(c)  # NaN is the greatest to Spark, so any number comes before it
+
+
+def _greatest(c: str) -> Column:
+    """The greatest of points' maxima; NaN only if all are."""
+    return F.coalesce(F.max(F.when(~F.isnan(c), F.col(c))), F.max(c))
+
+
 def coarsen(rollup: DataFrame, resolution: str) -> DataFrame:
     """A coarser resolution from a finer one, equal to that from samples but for the order of float sums."""
     r = rollup.withColumn("_b", bucket(F.col("ts"), RESOLUTION_MS[resolution]))
-    out = r.groupBy("metric", "labels", "series_key", "_b").agg(F.min("min").alias("min"), F.max("max").alias("max"), F.sum("sum").alias("sum"), F.sum("count").alias("count"), F.min_by("first", "ts").alias("first"), F.max_by("last", "ts").alias("last"))
+    out = r.groupBy("metric", "labels", "series_key", "_b").agg(_least("min").alias("min"), _greatest("max").alias("max"), F.sum("sum").alias("sum"), F.sum("count").alias("count"), F.min_by("first", "ts").alias("first"), F.max_by("last", "ts").alias("last"))
     return out.withColumnRenamed("_b", "ts").withColumn("resolution", F.lit(resolution)).select(*ROLLUP_COLUMNS)
 
 
 def merge_rollups(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One point per bucket of both; ``a`` is the earlier part: first values come from it, last ones from ``b``."""
+    """One point per bucket of both; ``a`` is the earlier part: first values come from it, last ones from ``b``.
+
+    A point's minimum or maximum is NaN if its first value was; merged with others it counts only where all are NaN.
+    """
     both = a.withColumn("_side", F.lit(0)).unionByName(b.withColumn("_side", F.lit(1)))
     return both.groupBy("resolution", "metric", "labels", "series_key", "ts").agg(
-        F.min("min").alias("min"), F.max("max").alias("max"), F.sum("sum").alias("sum"), F.sum("count").alias("count"), F.min_by("first", "_side").alias("first"), F.max_by("last", "_side").alias("last")
+        _least("min").alias("min"), _greatest("max").alias("max"), F.sum("sum").alias("sum"), F.sum("count").alias("count"), F.min_by("first", "_side").alias("first"), F.max_by("last", "_side").alias("last")
     ).select(*ROLLUP_COLUMNS)
 
 
@@ -77,7 +90,7 @@ def query_rollup(rollup: DataFrame, q: Query, resolution: str) -> DataFrame:
     r = rollup.where(F.col("resolution") == resolution).where(selector(q.metric, q.matchers, q.start, q.end))
     r = r if "part" in r.columns else r.withColumn("part", F.lit(0))
     return r.groupBy("resolution", "metric", "labels", "series_key", "ts").agg(
-        F.min("min").alias("min"), F.max("max").alias("max"), F.sum("sum").alias("sum"), F.sum("count").alias("count"), F.min_by("first", "part").alias("first"), F.max_by("last", "part").alias("last")
+        _least("min").alias("min"), _greatest("max").alias("max"), F.sum("sum").alias("sum"), F.sum("count").alias("count"), F.min_by("first", "part").alias("first"), F.max_by("last", "part").alias("last")
     ).select(*ROLLUP_COLUMNS)
 
 

@@ -35,3 +35,10 @@ def lineitem(spark: SparkSession, sf: str) -> DataFrame:
     """Prices by return flag and line status, without a valid order of writes: for aggregates that need none."""
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
     return _samples(li, F.lit("l_extendedprice"), {"returnflag": F.col("l_returnflag"), "linestatus": F.col("l_linestatus")}, _ms("l_shipdate"), F.col("l_extendedprice"), F.lit(0))
+
+
+def samples(spark: SparkSession, sf: str) -> DataFrame:
+    """The dirty samples table; rows without a value are no samples."""
+    s = spark.read.parquet(f"{sf}/samples.parquet").where(F.col("value").isNotNull())
+    s = s.withColumn("labels", F.coalesce("labels", F.create_map().cast("map<string,string>")))
+    return s.select("metric", "labels", series_key(F.col("metric"), F.col("labels")).alias("series_key"), "ts", "value", "seq")
